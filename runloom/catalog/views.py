@@ -117,6 +117,46 @@ class Tables:
     def store(self) -> Store:
         return Store(self.tasks, self.task_tags, self.processes, self.events)
 
+    @cached_property
+    def wire(self) -> DataFrame:
+        """Events as they arrive: some name no process, a wrong kind or a wrong index."""
+        k = F.get_json_object("props", "$.k").cast("int")
+        cls = F.col("event_type")
+        return self.given("events").withColumn("k", k).select(
+            "event_id",
+            F.when((cls != "signup") | (F.col("k") >= 5), F.col("user_id")).alias("task_id"),
+            F.concat(F.lit("p"), F.col("k") % 5).alias("process"),
+            F.when(F.col("k") % 3 != 0, F.floor(F.col("k") / 4).cast("int") - 1)
+            .alias("array_index"),
+            cls.alias("event_class"),
+            F.when(cls == "click", F.floor("value").cast("int")).alias("progress"),
+            F.when(F.col("k") % 7 != 0, F.col("ts").cast("timestamp")).alias("received_at"),
+            "k",
+        )
+
+    @cached_property
+    def submissions(self) -> DataFrame:
+        """Orders as submitted tasks: repeated names, names of stored tasks, odd specs."""
+        status, urgency = F.col("o_orderstatus"), F.col("o_orderpriority")
+        n = (F.col("o_custkey") % 50 + 1).cast("string")
+        spec = (
+            F.when(status == "F", F.concat(
+                F.lit('{"single": null, "many": '), n, F.lit("}")))
+            .when(status == "O", F.concat(F.lit('{"some": ['), n, F.lit(", 3]}")))
+            .when(urgency == "5-LOW", "{}")
+            .when(urgency == "1-URGENT", F.concat(F.lit('{"odd": ['), n, F.lit("]}")))
+            .when(urgency == "2-HIGH", F.concat(F.lit('{"cut": '), n))
+            .otherwise(F.concat(F.lit('{"plain": '), n, F.lit("}")))
+        )
+        stored = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+        return self.given("orders").select(
+            F.col("o_orderkey").alias("submission_id"),
+            F.when(status == "F", stored)
+            .otherwise(F.concat(F.lit("Batch#"), "o_custkey")).alias("name"),
+            spec.alias("processes"), "o_custkey", "o_orderstatus", "o_orderpriority",
+            "o_orderdate", "o_totalprice",
+        )
+
     @cached_property
     def edges(self) -> DataFrame:
         """Dependencies: task c needs c/2 and c/3."""
@@ -135,6 +175,24 @@ class Tables:
             (F.col("l_returnflag") == "R").alias("deleted"),
         )
 
+    @cached_property
+    def nested_layers(self) -> DataFrame:
+        """Order lines as layers of a nested configuration with scalars over mappings."""
+        supp, part = (F.col(c) % 3 for c in ("l_suppkey", "l_partkey"))
+        path = F.concat(
+            F.lit("s"), supp,
+            F.when(F.col("l_returnflag") == "A", "")
+            .when(F.col("l_returnflag") == "N", F.concat(F.lit(".k"), part))
+            .otherwise(F.concat(F.lit(".k"), part, F.lit(".q"), F.col("l_partkey") % 2)))
+        return (
+            self.given("lineitem").groupBy(
+                F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("layer"),
+                path.alias("path"))
+            .agg(F.max("l_quantity").alias("value"),
+                 F.bool_and((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0))
+                 .alias("deleted"))
+        )
+
 
 # The same views for the SQL side.
 SQL_VIEWS = {
@@ -165,6 +223,32 @@ SQL_VIEWS = {
                     AS progress,
                props AS payload, ts AS received_at
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
+    "m_wire": """
+        SELECT event_id, CASE WHEN event_type <> 'signup' OR k >= 5 THEN user_id END AS task_id,
+               'p' || (k % 5) AS process,
+               CAST(CASE WHEN k % 3 <> 0 THEN k // 4 - 1 END AS INTEGER) AS array_index,
+               event_type AS event_class,
+               CAST(CASE WHEN event_type = 'click' THEN floor(value) END AS INTEGER) AS progress,
+               CASE WHEN k % 7 <> 0 THEN ts END AS received_at, k
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
+    "m_checked": """
+        SELECT w.*, CASE
+            WHEN w.task_id IS NULL THEN 'missing key: task_id'
+            WHEN p.kin IS NULL THEN 'unknown process'
+            WHEN array_index IS NULL AND p.kin <> 1 THEN 'not a standalone process'
+            WHEN array_index IS NOT NULL AND p.kin <> 3 THEN 'not an array'
+            WHEN array_index < 0 OR array_index > p.n_jobs THEN 'index out of range' END AS reason
+        FROM m_wire w LEFT JOIN m_processes p USING (task_id, process)""",
+    "m_submissions": """
+        SELECT o_orderkey AS submission_id, o_custkey, o_orderstatus, o_orderpriority,
+               CASE WHEN o_orderstatus = 'F' THEN 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0')
+                    ELSE 'Batch#' || o_custkey END AS name, o_custkey % 50 + 1 AS n
+        FROM orders""",
+    "m_named": """
+        SELECT s.*, CASE WHEN t.name IS NOT NULL THEN 'name is stored already'
+            WHEN submission_id <> min(submission_id) OVER (PARTITION BY s.name)
+            THEN 'name is repeated in the batch' END AS reason
+        FROM m_submissions s LEFT JOIN (SELECT DISTINCT name FROM m_tasks) t USING (name)""",
     "m_edges": """
         SELECT DISTINCT c_custkey // d AS parent, c_custkey AS child
         FROM customer, (VALUES (2), (3)) AS v(d) WHERE c_custkey > 0""",
@@ -188,4 +272,14 @@ SQL_VIEWS = {
                           CAST(max(top) AS BIGINT) AS top FROM v_unit GROUP BY ALL) s
              USING (task_id, process)
         LEFT JOIN v_last l USING (task_id, process)""",
+    "m_grid": """
+        SELECT r_name, p_brand, p_size FROM region, (SELECT DISTINCT p_brand FROM part),
+               (SELECT DISTINCT p_size FROM part)""",
+    "m_nested": """
+        SELECT l_orderkey AS scope, l_linenumber AS layer, path, max(l_quantity) AS value,
+               bool_and(l_linestatus = 'F' AND l_tax = 0) AS deleted
+        FROM (SELECT *, 's' || (l_suppkey % 3) || CASE l_returnflag WHEN 'A' THEN ''
+                        WHEN 'N' THEN '.k' || (l_partkey % 3)
+                        ELSE '.k' || (l_partkey % 3) || '.q' || (l_partkey % 2) END AS path
+              FROM lineitem) GROUP BY ALL""",
 }
