@@ -1,6 +1,6 @@
 """All runnable queries; importing a module registers its queries."""
 
-from runloom.catalog import intake, manifests, monitoring  # noqa: F401
+from runloom.catalog import intake, manifests, monitoring, networks  # noqa: F401
 from runloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

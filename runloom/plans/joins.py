@@ -46,6 +46,7 @@ def salted_join(
     salt_by: Sequence[str] | None = None,
     hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot left keys are split over several tasks.
 
@@ -53,10 +54,13 @@ def salted_join(
     ``salt_by`` (default: all columns); the matching right rows are repeated once per salt,
     so the result equals the plain join. Left rows with a null key match nothing and are
     spread too. ``hot`` replaces the counted list when the caller knows the sizes already.
+    With ``left_rows`` below ``hot_rows`` no key can be hot, and the plain join is used.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
+    if left_rows is not None and left_rows < hot_rows:
+        return left.join(right, on, how)
     hot = hot_keys(left, on, hot_rows) if hot is None else hot
     plain = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
     spread = F.xxhash64(*[F.col(c) for c in (salt_by or plain)])
@@ -76,15 +80,19 @@ def salted_join(
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup side: true when both its row count and its text volume are small."""
-    wide = [
-        F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+def volume(df: DataFrame) -> Column:
+    """Approximate bytes of a row, for measuring a lookup side."""
+    widths = [
+        F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
         if isinstance(f.dataType, T.StringType) else F.lit(8)
         for f in df.schema.fields
     ]
-    volume = reduce(lambda a, b: a + b, wide)
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(volume).alias("b")).first()
+    return reduce(lambda a, b: a + b, widths).cast("bigint")
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Measure a lookup side: true when both its row count and its text volume are small."""
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(volume(df)).alias("b")).first()
     return found["n"] <= rows and (found["b"] or 0) <= size
 
 
@@ -94,9 +102,12 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     salt_by: Sequence[str] | None = None,
-    rows: int = BROADCAST_ROWS,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Join with a lookup table: broadcast when measured to fit, else the salted shuffle join."""
-    if fits_broadcast(right, rows):
+    """Join with a lookup table: broadcast when measured to fit, else the salted shuffle join.
+
+    ``fits`` is the outcome of an earlier measurement.
+    """
+    if fits_broadcast(right) if fits is None else fits:
         return left.join(F.broadcast(right), list(on), how)
     return salted_join(left, right, on, how, salt_by)

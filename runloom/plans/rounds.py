@@ -19,12 +19,13 @@ class RoundTables:
         self.root = scratch_dir(spark, label)
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write one round and return it as a fresh scan."""
+    def write(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write one round; return it as a fresh scan with its row count (from the footers)."""
         path = f"{self.root}/round={len(self.paths)}"
         df.write.mode("overwrite").parquet(path)
         self.paths.append(path)
-        return self._read([path], df)
+        written = self._read([path], df)
+        return written, written.count()
 
     def all(self, like: DataFrame) -> DataFrame:
         """All rounds so far as one scan."""

@@ -33,7 +33,9 @@ def parse_lines(df: DataFrame, kind: str, line: str = "value") -> tuple[DataFram
     """
     filled = df.where(F.col(line) != "")
     found, fields = capture(F.col(line), KINDS[kind])
-    return filled.where(found).withColumns(fields).drop(line), filled.where(~found)
+    kept = [c for c in df.columns if c != line and c not in fields]
+    rows = filled.where(found).select(*kept, *[c.alias(n) for n, c in fields.items()])
+    return rows, filled.where(~found)
 
 
 def parse_id_range(df: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
