@@ -196,8 +196,8 @@ def sink_append(t: Tables) -> DataFrame:
     return t.spark.read.schema(log.schema).parquet(path).select(*log.columns)
 
 
-def wire_lines(t: Tables) -> DataFrame:
-    """The arriving events as JSON text; one kind is cut short, one has a wrong type."""
+def wire_lines(wire: DataFrame) -> DataFrame:
+    """Arriving events as JSON text; one kind is cut short, one has a wrong type."""
     text = F.to_json(F.struct(
         F.struct(F.lit("node-1").alias("host"),
                  F.concat(F.lit("1546632760."), F.lpad(F.col("k").cast("string"), 2, "0"))
@@ -205,8 +205,8 @@ def wire_lines(t: Tables) -> DataFrame:
         "event_id", F.col("task_id").cast("string").alias("task_id"), "process", "array_index",
         "event_class", "progress"))
     k = F.col("k")
-    return t.wire.select(
-        "event_id", F.when(k == 13, F.concat(F.lit('{"event_id": '), "event_id"))
+    return wire.select(
+        F.when(k == 13, F.concat(F.lit('{"event_id": '), "event_id"))
         .when(k == 14, F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "progress": "x"}')))
         .otherwise(text).alias("value"))
 
@@ -223,7 +223,7 @@ def wire_lines(t: Tables) -> DataFrame:
     FROM m_wire""")
 def json_ingest(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "records")
-    wire_lines(t).select("value").write.text(path)
+    wire_lines(t.wire).write.text(path)
     accepted, quarantine = records.ingest_json(t.spark, path, EVENT_RECORD)
     good = accepted.select(
         "event_id", "process", "progress", "hostname", F.unix_micros("sent_at").alias("sent_us"))

@@ -117,12 +117,23 @@ class Tables:
     def store(self) -> Store:
         return Store(self.tasks, self.task_tags, self.processes, self.events)
 
+    def event_stream(self) -> DataFrame:
+        """The given events as a stream of the files of their table.
+
+        A glob, since the table may be one file or a folder of files.
+        """
+        return self.spark.readStream.schema(GIVEN["events"]).parquet(
+            f"{self.sf_dir}/events[.]parquet")
+
     @cached_property
     def wire(self) -> DataFrame:
+        return self.as_wire(self.given("events"))
+
+    def as_wire(self, events: DataFrame) -> DataFrame:
         """Events as they arrive: some name no process, a wrong kind or a wrong index."""
         k = F.get_json_object("props", "$.k").cast("int")
         cls = F.col("event_type")
-        return self.given("events").withColumn("k", k).select(
+        return events.withColumn("k", k).select(
             "event_id",
             F.when((cls != "signup") | (F.col("k") >= 5), F.col("user_id")).alias("task_id"),
             F.concat(F.lit("p"), F.col("k") % 5).alias("process"),

@@ -82,14 +82,16 @@ def resolve_lookup(refs: DataFrame) -> tuple[DataFrame, bool]:
     """The lookup table with the references inside its values resolved; does it fit a broadcast.
 
     Every round replaces each reference by the current value of its target, so the nesting
-    depth halves; ``used`` counts the substitutions behind a value. A cycle at least doubles
-    its count per round and becomes an error within eight rounds. Rounds are written to the
-    shared folder.
+    depth halves; ``used`` counts the substitutions behind a value. A value that has come to
+    name itself is an error at once; any other cycle at least doubles its count per round and
+    becomes one within eight rounds. Rounds are written to the shared folder.
     """
+    itself = F.concat(F.lit("$("), "ref_group", F.lit(":"), "ref_id", F.lit(")"))
+    loops = F.when(F.contains("ref_value", itself), TOO_MANY)
     tables = RoundTables(refs.sparkSession, "refs")
     now, _ = tables.write(refs.select(
         *_KEY, "ref_value", F.lit(0).cast("bigint").alias("used"),
-        F.when(F.col("ref_value").isNull(), NULL_RESULT).alias("error")))
+        F.when(F.col("ref_value").isNull(), NULL_RESULT).otherwise(loops).alias("error")))
     is_open = F.coalesce(F.col("error").isNull() & F.col("ref_value").rlike(REFERENCE),
                          F.lit(False))
     while True:
@@ -100,7 +102,8 @@ def resolve_lookup(refs: DataFrame) -> tuple[DataFrame, bool]:
             return now, fits
         next_ = _substitute(now.where(is_open), _KEY, "ref_value", now, F.col("used"), fits)
         now, _ = tables.write(now.where(~is_open).unionByName(
-            next_.select(*_KEY, F.col("text").alias("ref_value"), "used", "error")))
+            next_.withColumnRenamed("text", "ref_value")
+            .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error"))))
 
 
 def resolve_refs(

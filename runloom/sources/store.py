@@ -45,7 +45,8 @@ def append(
     if batch_id is None:
         df.write.mode("append").partitionBy(*partition_by).parquet(path)
     else:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}")
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}"))
 
 
 def write_store(store: Store, path: str) -> None:
