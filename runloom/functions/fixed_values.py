@@ -42,7 +42,6 @@ MAX_SUBSTITUTIONS = 255
 # Override expressions of a configuration layer.
 SET_EXPRESSION = r"^(?P<name>[A-Za-z][\w.-]+)=(?P<value>(?:\\,|[^,\n])+)$"
 UNDEF_EXPRESSION = r"^~(?P<name>[A-Za-z][\w.-]+)$"
-ANY_EXPRESSION = r"^~?[A-Za-z_][\w.-]+(?:[+.-~]?=.+)?$"
 
 # Template files: hidden files and editor swap files are left out.
 TEMPLATE_FILE = r"^(?P<dir>.+\/)?(?P<filename>[^.~#]\w*)(?:\.(?P<extension>\w+))?$"

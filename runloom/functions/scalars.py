@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.fixed_values import DEFAULT_STATE_FLAGS, STATE_FLAGS
@@ -87,20 +87,29 @@ def python_groups(rx: str) -> tuple[str, list[str]]:
     return "(?U)" + re.sub(r"\(\?P<\w+>", "(", rx), sorted(named, key=named.get)
 
 
-def capture(text: Column, rx: str) -> tuple[Column, dict[str, Column]]:
-    """``(matches, {group: value})`` of a pattern anchored at the start of the text.
+def matches(text: Column, rx: str) -> Column:
+    """Does the pattern match at the start of the text."""
+    java, _ = python_groups(rx)
+    return text.rlike(f"{java[:4]}^(?:{java[4:]})")
 
-    The text is matched once for all groups: the groups are written out between separators
-    and split again. A group that took no part in the match is an empty string.
+
+def capture(df: DataFrame, text: Column, rx: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows that match, rows that do not)``, the former with the named groups as columns.
+
+    The pattern is anchored at the start. All groups come from one evaluation: they are
+    written out between separators and split, and the fields read that array. A group that
+    took no part in the match is an empty string.
     """
     java, names = python_groups(rx)
-    flags, body = java[:4], java[4:]
     separator = "\u0001\u001f\u0002"
     joined = separator.join(f"${i + 1}" for i in range(len(names)))
-    whole = f"{flags}^(?:{body})[\\s\\S]*$"
+    whole = f"{java[:4]}^(?:{java[4:]})[\\s\\S]*$"
+    found = matches(text, rx)
     parts = F.split(F.regexp_replace(text, whole, joined), separator, -1)
-    found = text.rlike(f"{flags}^(?:{body})")
-    return found, {n: F.when(found, F.get(parts, F.lit(i))) for i, n in enumerate(names)}
+    kept = [c for c in df.columns if c not in names]
+    rows = df.where(found).withColumn("__parts", parts).select(
+        *kept, *[F.get("__parts", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return rows, df.where(F.coalesce(~found, F.lit(True)))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import HOT_ROWS, salted_join
+from runloom.plans.joins import HOT_ROWS, salted_inner_join, salted_join
 from runloom.plans.nesting import MAX_ITEMS, nest
 from runloom.plans.rounds import RoundTables
 
@@ -26,16 +26,16 @@ def dag_adjacency(edges: DataFrame, nodes: DataFrame, max_items: int = MAX_ITEMS
     return nodes.select("node").join(lists, "node", "left")
 
 
-def _grow(step: DataFrame, paths: DataFrame, rows: int, hot_rows: int) -> DataFrame:
-    """Join paths that end in a node (``step``, of ``rows`` rows) with paths that start there.
+def _grow(step: DataFrame, n_steps: int, paths: DataFrame, n_paths: int,
+          hot_rows: int) -> DataFrame:
+    """Join paths that end in a node (``step``) with paths that start there.
 
-    A node that ends very many paths is salted; the paths that start there are repeated.
+    Both sides may be hot: nodes with very many ancestors, nodes with very many descendants.
     """
     left = step.select("parent", F.col("child").alias("via"))
     right = paths.select(F.col("parent").alias("via"), "child")
-    met = salted_join(left, right, ["via"], "inner", salt_by=["parent"], hot_rows=hot_rows,
-                      left_rows=rows)
-    return met.select("parent", "child").distinct()
+    return salted_inner_join(left, right, ["via"], hot_rows, n_steps, n_paths).select(
+        "parent", "child").distinct()
 
 
 def closure(
@@ -57,14 +57,16 @@ def closure(
         new, n = tables.write(salted_join(
             steps, wanted, ["child"], "left_semi", hot_rows=hot_rows, left_rows=n_steps))
         while n:
-            found = _grow(steps, new, n_steps, hot_rows)
+            found = _grow(steps, n_steps, new, n, hot_rows)
             new, n = tables.write(found.join(tables.all(base), ["parent", "child"], "left_anti"))
         return tables.all(base)
     new, n = tables.write(base)
+    total = n
     while n:
         so_far = tables.all(base)
-        found = _grow(new, so_far, n, hot_rows)
+        found = _grow(new, n, so_far, total, hot_rows)
         new, n = tables.write(found.join(so_far, ["parent", "child"], "left_anti"))
+        total += n
     return tables.all(base)
 
 

@@ -8,9 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.functions.fixed_values import ANY_EXPRESSION, SET_EXPRESSION, UNDEF_EXPRESSION
+from runloom.functions.fixed_values import SET_EXPRESSION, UNDEF_EXPRESSION
 from runloom.functions.scalars import capture
 from runloom.plans.joins import HOT_ROWS, salted_join
+from runloom.plans.rounds import RoundTables
+
+COLLECTION_CHANGE = "collection changes are not supported"
+NO_EXPRESSION = "not an override expression"
+TRAILING_DOT = "name ends with a dot"
 
 
 def _key() -> Column:
@@ -40,13 +45,13 @@ def overlay_key_count(layers: DataFrame) -> DataFrame:
     return top.groupBy("scope").agg(F.count_if(~F.col("deleted")).alias("n_keys"))
 
 
-def _ancestors(path: Column, itself: bool) -> Column:
-    """Every proper prefix of a dotted path, and the path itself when asked."""
+def _ancestors(path: Column) -> Column:
+    """Every proper prefix of a dotted path."""
     parts = F.split(path, r"\.")
-    last = F.size(parts) if itself else F.size(parts) - 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                    lambda n: F.array_join(F.slice(parts, 1, n), ".")))
+    n = F.size(parts) - 1
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                    lambda i: F.array_join(F.slice(parts, 1, i), ".")))
 
 
 def overlay_deep_merge(layers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -56,24 +61,24 @@ def overlay_deep_merge(layers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     replaced the mapping) or at a descendant (a mapping replaced the scalar). Tombstones
     replace like scalars and are dropped at the end. Expects one row per scope, layer, path.
     """
-    leaves = layers.groupBy("scope", "path").agg(
-        F.max("layer").alias("layer"),
-        F.max_by(F.struct("value", "deleted"), "layer").alias("top"))
-    below = (
-        leaves.select("scope", "layer", F.explode(_ancestors(F.col("path"), False)).alias("path"))
-        .groupBy("scope", "path").agg(F.max("layer").alias("below"))
-    )
-    # Leaves and prefixes are already distributed by (scope, path).
+    # Read several times below, with different columns.
+    leaves, _ = RoundTables(layers.sparkSession, "leaves").write(
+        layers.groupBy("scope", "path").agg(
+            F.max("layer").alias("layer"),
+            F.max_by(F.struct("value", "deleted"), "layer").alias("top")))
+    nodes = leaves.select("scope", "path", "layer",
+                          F.explode(_ancestors(F.col("path"))).alias("above"))
+    below = nodes.groupBy("scope", F.col("above").alias("path")).agg(
+        F.max("layer").alias("below"))
     met = leaves.join(below, ["scope", "path"], "left")
     kept = met.where(F.col("below").isNull() | (F.col("below") <= F.col("layer")))
     # Only a path that is both leaf and prefix can hide what is below it.
-    scalars = met.where(F.col("below").isNotNull()).select(
+    scalars = leaves.join(below, ["scope", "path"], "left_semi").select(
         "scope", F.col("path").alias("above"), F.col("layer").alias("above_layer"))
+    n_nodes = leaves.agg(F.sum(F.size(F.split("path", r"\.")) - 1)).first()[0] or 0
     hidden = (
-        salted_join(
-            leaves.select("scope", "path", "layer",
-                          F.explode(_ancestors(F.col("path"), False)).alias("above")),
-            scalars, ["scope", "above"], "inner", salt_by=["path"], hot_rows=hot_rows)
+        salted_join(nodes, scalars, ["scope", "above"], "inner", salt_by=["path"],
+                    hot_rows=hot_rows, left_rows=n_nodes)
         .where(F.col("above_layer") > F.col("layer")).select("scope", "path").distinct()
     )
     return (
@@ -114,17 +119,17 @@ def override_exprs(df: DataFrame, expr: str = "expr") -> tuple[DataFrame, DataFr
     Values stay text. A comma in a value must be escaped. Changes of collections
     (``name.=value``, ``name~=value``) are not supported.
     """
+    nothing = F.lit(None).cast("string")
     text = F.col(expr)
-    is_set, assigned = capture(text, SET_EXPRESSION)
-    is_undef, removed = capture(text, UNDEF_EXPRESSION)
-    name = F.coalesce(assigned["name"], removed["name"])
-    reason = (
-        F.when(text.rlike(r"(?U)^[A-Za-z_][\w.-]*[.~]="), "collection changes are not supported")
-        .when(~text.rlike("(?U)" + ANY_EXPRESSION) | ~(is_set | is_undef),
-              "not an override expression")
-        .when(name.endswith("."), "name ends with a dot")
-    )
-    tagged = df.withColumns({
-        "path": name, "value": assigned["value"], "deleted": is_undef, "reason": reason})
-    good = tagged.where(F.col("reason").isNull()).drop("reason")
-    return good, tagged.where(F.col("reason").isNotNull()).drop("path", "value", "deleted")
+    assigned, rest = capture(df, text, SET_EXPRESSION)
+    removed, rest = capture(rest, text, UNDEF_EXPRESSION)
+    known = assigned.withColumn("deleted", F.lit(False)).unionByName(
+        removed.withColumns({"value": nothing, "deleted": F.lit(True)}))
+    trailing = F.col("name").endswith(".")
+    good = known.where(~trailing).withColumnRenamed("name", "path")
+    odd = known.where(trailing).select(
+        *df.columns, F.when(F.col("deleted"), TRAILING_DOT).otherwise(COLLECTION_CHANGE)
+        .alias("reason"))
+    reason = F.when(text.rlike(r"(?U)^[A-Za-z_][\w.-]*[.~]="), COLLECTION_CHANGE).otherwise(
+        NO_EXPRESSION)
+    return good, rest.withColumn("reason", reason).unionByName(odd)

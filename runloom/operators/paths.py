@@ -73,14 +73,13 @@ def manifest_parse(df: DataFrame, key: str = "key") -> tuple[DataFrame, DataFram
 
     Rows gain ``is_file``, ``template`` and ``alias`` (null when there is none).
     """
-    found, part = capture(F.col(key), MANIFEST_KEY)
-    rows = df.where(found).withColumns({
-        "is_file": part["isFile"] == "!",
-        "template": part["nmTmpl"],
-        "alias": F.when(part["alias"] != "", part["alias"]),
-    })
-    rejected = df.where(F.coalesce(~found, F.lit(True))).withColumn("reason", F.lit(BAD_KEY))
-    return rows, rejected
+    found, rest = capture(df, F.col(key), MANIFEST_KEY)
+    rows = found.withColumns({
+        "is_file": F.col("isFile") == "!",
+        "template": F.col("nmTmpl"),
+        "alias": F.when(F.col("alias") != "", F.col("alias")),
+    }).drop("isFile", "nmTmpl")
+    return rows, rest.withColumn("reason", F.lit(BAD_KEY))
 
 
 def duplicate_aliases(rows: DataFrame) -> DataFrame:

@@ -80,6 +80,38 @@ def salted_join(
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
+def salted_inner_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
+    right_rows: int | None = None,
+) -> DataFrame:
+    """Inner equi-join of two sides that may both have hot keys.
+
+    A key that is hot on one side is split there and repeated on the other; one that is hot on
+    both is cut into a grid of pieces. Every pair meets in exactly one piece. A side known to
+    have fewer than ``hot_rows`` rows is not examined.
+    """
+    on = list(on)
+    sides = {"__l": (left, left_rows), "__r": (right, right_rows)}
+    cut = {
+        salt: F.broadcast(hot_keys(df, on, hot_rows).withColumnRenamed("__salts", f"{salt}n"))
+        for salt, (df, rows) in sides.items() if rows is None or rows >= hot_rows
+    }
+    salted = []
+    for own, (df, _) in sides.items():
+        spread = F.xxhash64(*[F.col(c) for c in df.columns])
+        for salt, hot in cut.items():
+            pieces = F.coalesce(f"{salt}n", F.lit(1))
+            df = df.join(hot, on, "left").withColumn(
+                salt, F.pmod(spread, pieces).cast("int") if salt == own
+                else F.explode(F.sequence(F.lit(0), pieces - 1))).drop(f"{salt}n")
+        salted.append(df)
+    return salted[0].join(salted[1], [*on, *cut], "inner").drop(*cut)
+
+
 def volume(df: DataFrame) -> Column:
     """Approximate bytes of a row, for measuring a lookup side."""
     widths = [

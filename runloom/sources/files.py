@@ -6,11 +6,12 @@ import fnmatch
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions.fixed_values import IGNORED_TEMPLATES, TEMPLATE_FILE
-from runloom.functions.scalars import capture, python_groups
+from runloom.functions.scalars import capture, matches, python_groups
 
 
 def list_files(
@@ -33,9 +34,8 @@ def extract_path(df: DataFrame, column: str, rx: str | None = None,
     """
     if rx is None:
         return df.withColumns({g: F.lit(None).cast("string") for g in groups or ()})
-    found, parts = capture(F.col(column), rx)
-    wanted = groups or python_groups(rx)[1]
-    return df.where(found).withColumns({g: parts[g] for g in wanted})
+    found, _ = capture(df, F.col(column), rx)
+    return found.select(*df.columns, *(groups or python_groups(rx)[1]))
 
 
 def path_meanings(spark: SparkSession, root: str, glob: str = "*", rx: str | None = None,
@@ -67,7 +67,7 @@ def template_names(
     the same name under a later root replaces the earlier one.
     """
     name = F.substring_index(F.col("path"), "/", -1)
-    is_template, _ = capture(name, TEMPLATE_FILE)
+    is_template = matches(name, TEMPLATE_FILE)
     skipped = reduce(lambda a, b: a | b,
                      [_matches_glob(F.concat(F.lit("/"), "path"), g) for g in ignore],
                      F.lit(False))
@@ -125,11 +125,12 @@ def write_tree(
 
 def _existing(spark: SparkSession, root: str, partition_cols: Sequence[str]) -> DataFrame | None:
     """Partition values below ``root`` from the file listing, null when there is nothing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    files = list_files(spark, root, "part-*", recursive=True)
+    try:
+        files = list_files(spark, root, "part-*", recursive=True)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     raw = {c: F.regexp_extract("path", rf"/{c}=([^/]*)/", 1) for c in partition_cols}
     return files.select(*[_unescaped(v).alias(c) for c, v in raw.items()]).distinct()
 

@@ -15,7 +15,7 @@ from runloom.functions.fixed_values import (
     KEY_VALUE,
     QUEUE_LIST,
 )
-from runloom.functions.scalars import capture
+from runloom.functions.scalars import capture, python_groups
 
 KINDS = {
     "job_list": JOB_LIST,
@@ -31,11 +31,8 @@ def parse_lines(df: DataFrame, kind: str, line: str = "value") -> tuple[DataFram
 
     Empty lines are in neither. Kinds: see ``KINDS``.
     """
-    filled = df.where(F.col(line) != "")
-    found, fields = capture(F.col(line), KINDS[kind])
-    kept = [c for c in df.columns if c != line and c not in fields]
-    rows = filled.where(found).select(*kept, *[c.alias(n) for n, c in fields.items()])
-    return rows, filled.where(~found)
+    rows, rest = capture(df.where(F.col(line) != ""), F.col(line), KINDS[kind])
+    return (rows if line in python_groups(KINDS[kind])[1] else rows.drop(line)), rest
 
 
 def parse_id_range(df: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -43,18 +40,17 @@ def parse_id_range(df: DataFrame, line: str = "value") -> tuple[DataFrame, DataF
 
     ``single`` tells that both ends are the same job.
     """
-    filled = df.where(F.col(line) != "")
-    found, ends = capture(F.col(line), r"[\s\S]*?" + ID_RANGE)
-    first, last = F.split(ends["JIDRngBgn"], r"\."), F.split(ends["JIDRngEnd"], r"\.")
+    found, rest = capture(df.where(F.col(line) != ""), F.col(line), r"[\s\S]*?" + ID_RANGE)
+    first, last = F.split("JIDRngBgn", r"\."), F.split("JIDRngEnd", r"\.")
     numbers = {
         f"{end}_{part}": F.get(ids, F.lit(i)).cast("bigint")
         for end, ids in (("first", first), ("last", last))
         for i, part in enumerate(("cluster", "process"))
     }
-    rows = filled.where(found).withColumns(numbers).withColumn(
+    rows = found.withColumns(numbers).withColumn(
         "single", (F.col("first_cluster") == F.col("last_cluster"))
         & (F.col("first_process") == F.col("last_process")))
-    return rows.drop(line), filled.where(~found)
+    return rows.drop(line, "JIDRngBgn", "JIDRngEnd"), rest
 
 
 def joblist_union_all(*lists: DataFrame) -> DataFrame:
@@ -72,15 +68,15 @@ def log_to_events(
     group ``completion`` as progress. ``exits`` (``task_id, signature, received_at,
     exit_code``) gives TERMINATED. A signature ``array:3`` names index 3 of an array.
     """
-    found, group = capture(F.col(line), r"[\s\S]*?(?:" + rx + ")")
-    progress = group["completion"].try_cast("double").cast("int") if "completion" in group else (
-        F.lit(None).cast("int"))
+    found, _ = capture(lines, F.col(line), r"[\s\S]*?(?:" + rx + ")")
+    progress = (F.col("completion").try_cast("double").cast("int")
+                if "completion" in found.columns else F.lit(None).cast("int"))
     nothing = F.lit(None).cast("string")
     started = lines.groupBy("task_id", "signature").agg(
         F.min("received_at").alias("received_at")).select(
         "task_id", "signature", "received_at", F.lit("STARTED").alias("event_class"),
         F.lit(None).cast("int").alias("progress"), nothing.alias("payload"))
-    beats = lines.where(found).select(
+    beats = found.select(
         "task_id", "signature", "received_at", F.lit("BEAT").alias("event_class"),
         progress.alias("progress"), nothing.alias("payload"))
     out = started.unionByName(beats)

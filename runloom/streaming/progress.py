@@ -62,29 +62,46 @@ def compact_units(spark: SparkSession, out: str, to: str, like: DataFrame) -> No
 
 def stream_quench(
     events: DataFrame, processes: DataFrame, out: str, checkpoint: str, buckets: int = 64,
-    **trigger,
+    snapshot_every: int = 20, **trigger,
 ) -> StreamingQuery:
     """Tell, once per process, that its progress has reached the threshold.
 
     Only processes with a threshold are followed. ``out/units`` logs the greatest progress per
-    unit in buckets by process, ``out/quench`` the answers. A batch reads back only the buckets
-    of the processes it touches, and repeats no answer.
+    unit in buckets by process, ``out/snapshot`` holds the whole state after every
+    ``snapshot_every`` batches, ``out/quench`` the answers. A batch reads back the buckets it
+    touches, from the latest snapshot and the batches since, so its cost is bound by the number
+    of units and not by the length of the log. Replayed batches repeat the same writes.
     """
     spark = events.sparkSession
     watched = processes.where(F.col("threshold_progress").isNotNull()).select(
         *PROC, "kin", "threshold_progress")
     bucket = F.pmod(F.hash(*PROC), F.lit(buckets)).alias("bucket")
+    top = F.max(F.coalesce("progress", F.lit(0))).alias("top")
 
     def follow(batch: DataFrame, batch_id: int) -> None:
         # Combined per unit first, so that the join meets one row per unit.
-        tops = batch.groupBy(*UNIT).agg(F.max(F.coalesce("progress", F.lit(0))).alias("top"))
+        tops = batch.groupBy(*UNIT).agg(top)
         rows = salted_join(tops, watched.select(*PROC), PROC, "left_semi", ["array_index"])
         append(rows.withColumn("bucket", bucket), f"{out}/units", ["bucket"], batch_id)
-        log = f"{_ddl(tops, tops.columns)}, batch BIGINT, bucket INT"
-        units = spark.read.schema(log).parquet(f"{out}/units").where(F.col("batch") <= batch_id)
-        touched = units.where(F.col("batch") == batch_id).select("bucket", *PROC).distinct()
+        unit_log = f"{_ddl(tops, tops.columns)}, batch BIGINT, bucket INT"
+
+        base = batch_id // snapshot_every * snapshot_every - 1
+        log = spark.read.schema(unit_log).parquet(f"{out}/units")
+        units = log.where(F.col("batch").between(base + 1, batch_id))
+        if base >= 0:
+            snapshot = spark.read.schema(unit_log).parquet(f"{out}/snapshot")
+            units = units.unionByName(snapshot.where(F.col("batch") == base))
+        if batch_id % snapshot_every == snapshot_every - 1:
+            whole = units.groupBy("bucket", *UNIT).agg(F.max("top").alias("top"))
+            append(whole, f"{out}/snapshot", ["bucket"], batch_id)
+
+        mine = log.where(F.col("batch") == batch_id)
+        # At most ``buckets`` numbers: they prune the folders that are read.
+        seen = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        touched = mine.select(*PROC).distinct()
         now = (
-            salted_join(units, touched, ["bucket", *PROC], "left_semi", ["array_index", "batch"])
+            salted_join(units.where(F.col("bucket").isin(seen)), touched, PROC, "left_semi",
+                        ["array_index", "batch"])
             .groupBy(*UNIT).agg(F.max("top").alias("top"))
             .groupBy(*PROC).agg(F.max("top").alias("most"), F.sum("top").alias("total"))
             .join(watched, list(PROC))

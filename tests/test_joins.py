@@ -3,7 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import fits_broadcast, hot_keys, lookup_join, salted_join
+from runloom.plans.joins import (
+    fits_broadcast,
+    hot_keys,
+    lookup_join,
+    salted_inner_join,
+    salted_join,
+)
 from runloom.plans.nesting import nest
 
 
@@ -27,6 +33,15 @@ def test_salted_join_equals_plain_join(sides, rows, how, hot_rows):
         left.join(right, ["k"], how))
 
 
+@pytest.mark.parametrize("hot_rows", [2, 30, 1_000_000])
+@pytest.mark.parametrize("sizes", [(None, None), (1, None), (None, 1)])
+def test_inner_join_with_hot_keys_on_both_sides(sides, rows, hot_rows, sizes):
+    left, right = sides
+    big = right.unionByName(left.select("k", F.col("v").cast("string").alias("w")))
+    got = salted_inner_join(left, big, ["k"], hot_rows, *sizes)
+    assert rows(got.select("k", "v", "w")) == rows(left.join(big, ["k"]).select("k", "v", "w"))
+
+
 def test_known_size_skips_salting(sides, rows):
     left, right = sides
     assert rows(salted_join(left, right, ["k"], "inner", left_rows=500)) == rows(

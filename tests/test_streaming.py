@@ -95,10 +95,12 @@ def test_progress(spark, store, processes, tmp_path, rows):
     assert rows(again) == rows(units)
 
 
-def test_quench(spark, store, processes, tmp_path, rows):
+@pytest.mark.parametrize("every", [2, 20])
+def test_quench(spark, store, processes, tmp_path, rows, every):
     out = str(tmp_path)
     progress.stream_quench(stream_of(spark, store), processes, out, f"{out}/checkpoint", buckets=3,
-                           availableNow=True).awaitTermination()
+                           snapshot_every=every, availableNow=True).awaitTermination()
+    assert (tmp_path / "snapshot").exists() == (every == 2)
     want = M.quench_flag(processes, spark.read.parquet(f"{store}/events")).where("quench")
     told = spark.read.parquet(f"{out}/quench")
     assert rows(told, "task_id", "process") == rows(want, "task_id", "process") == [
