@@ -166,6 +166,24 @@ def conditional_rows(t: Tables) -> DataFrame:
     return kept.select("p_partkey", "p_type", "p_size", "p_brand")
 
 
+@query("manifest_expand", """
+    SELECT 'run/' || r_name AS path, 0 AS entry_no, false AS is_file, 'top' AS alias FROM region
+    UNION ALL SELECT DISTINCT 'run/' || r_name || '/' || p_brand || '.cfg', 1, true, 'config'
+    FROM m_grid WHERE p_brand <> 'Brand#4' AND p_brand IS NOT NULL
+    UNION ALL SELECT DISTINCT 'run/' || r_name || '/Brand#4.cfg', 2, true, NULL FROM m_grid
+    UNION ALL SELECT DISTINCT 'run/' || r_name || '/size-' || p_size, 3, false, NULL
+    FROM m_grid WHERE p_size > 25""")
+def manifest_expand(t: Tables) -> DataFrame:
+    made = P.expand_manifest(_grid(t), [
+        P.Entry("run/{r_name}", alias="top"),
+        P.Entry("run/{r_name}/{p_brand}.cfg", True, "config", ("eval:p_brand != 'Brand#4'",)),
+        P.Entry("run/{r_name}/{p_brand}.cfg", True),
+        P.Entry("run/{r_name}/size-{p_size}", conditions=("eval:p_size > 25",)),
+        P.Entry("run/{r_name}"),
+    ])
+    return made.select("path", "entry_no", "is_file", "alias")
+
+
 @query("alias_query", """
     SELECT p_partkey, p_name AS path FROM part
     WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#7' AND p_size <= 25""")

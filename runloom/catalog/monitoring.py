@@ -42,9 +42,9 @@ def events_of_process(t: Tables) -> DataFrame:
 
 @query("events_of_array_index", """
     SELECT event_id, array_index, event_class, progress, epoch_us(received_at) AS received_us
-    FROM m_events WHERE task_id = 7 AND process = 'p2' AND array_index = 3""")
+    FROM m_events WHERE task_id = 7 AND process = 'p2' AND array_index = 21""")
 def events_of_array_index(t: Tables) -> DataFrame:
-    found = M.events_of(t.events, t.processes, 7, "p2", array_index=3)
+    found = M.events_of(t.events, t.processes, 7, "p2", array_index=21)
     return _with_micros(
         found.select("event_id", "array_index", "event_class", "progress", "received_at"))
 

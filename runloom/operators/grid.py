@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.plans.joins import BROADCAST_ROWS, fits_broadcast
+from runloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, volume
 
 ROWS_PER_TASK = 1_000_000
 _SCALARS = (bool, int, float, str)
@@ -85,22 +85,24 @@ def grid_of(sequences: Sequence[DataFrame], limit: int | None = None) -> DataFra
     looked up by position. Two sequences above that bound would make a product beyond 10^12
     rows, which is refused.
     """
-    sizes = [s.count() for s in sequences]
+    measured = [s.agg(F.count(F.lit(1)).alias("n"), F.sum(volume(s)).alias("bytes")).first()
+                for s in sequences]
+    sizes = [m["n"] for m in measured]
     total = prod(sizes)
     _check_size(total, limit)
     spine = max(range(len(sizes)), key=sizes.__getitem__)
     out = sequences[spine]
     if total > ROWS_PER_TASK:
         out = out.repartition(min(sizes[spine], ceil(total / ROWS_PER_TASK)))
-    for i, (seq, size) in enumerate(zip(sequences, sizes)):
+    for i, (seq, m) in enumerate(zip(sequences, measured)):
         if i == spine:
             continue
-        if size > BROADCAST_ROWS or not fits_broadcast(seq):
+        if m["n"] > BROADCAST_ROWS or (m["bytes"] or 0) > BROADCAST_BYTES:
             raise ValueError("only one sequence of a grid may exceed the broadcast bound")
         # At most BROADCAST_ROWS values, so one task can number them.
         number = F.row_number().over(Window.orderBy(seq.columns[0])) - 1
         numbered = seq.withColumn("__digit", number)
-        digits = F.explode(F.sequence(F.lit(0), F.lit(size - 1)) if size
+        digits = F.explode(F.sequence(F.lit(0), F.lit(m["n"] - 1)) if m["n"]
                            else F.array().cast("array<int>"))
         out = out.withColumn("__digit", digits).join(
             F.broadcast(numbered), "__digit").drop("__digit")

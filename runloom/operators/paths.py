@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,16 @@ from runloom.functions.templates import field_column, render_columns, template_f
 BAD_KEY = "malformed manifest key"
 
 
+@dataclass(frozen=True)
+class Entry:
+    """One entry of a path manifest; ``path`` is the whole template from the root."""
+
+    path: str
+    is_file: bool = False
+    alias: str | None = None
+    conditions: tuple[str, ...] = field(default=())
+
+
 def render(
     df: DataFrame, template: str, strict: bool = True, reflexive: bool = False
 ) -> DataFrame:
@@ -127,3 +139,27 @@ def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
     return df.groupBy(key).agg(first).select(key, "first.*").select(*df.columns)
+
+
+def expand_manifest(grid: DataFrame, entries: Sequence[Entry]) -> DataFrame:
+    """All paths of a manifest over a grid: ``path, entry_no, is_file, alias, context, error``.
+
+    Conditions filter the grid before an entry is rendered. A path that several entries make
+    belongs to the first of them.
+    """
+    aliases = [e.alias for e in entries if e.alias is not None]
+    if len(aliases) != len(set(aliases)):
+        raise ValueError("an alias is claimed by more than one entry")
+    parts = [
+        render_distinct(apply_conditions(grid.withColumn("__entry", F.lit(e.path)),
+                                         {e.path: e.conditions}, "__entry"),
+                        e.path, reflexive=True)
+        .select("path", F.lit(number).alias("entry_no"), F.lit(e.is_file).alias("is_file"),
+                F.lit(e.alias).cast("string").alias("alias"), "context", "error")
+        for number, e in enumerate(entries)
+    ]
+    made = reduce(DataFrame.unionByName, parts)
+    good = made.where(F.col("error").isNull()).withColumn(
+        "__context", F.array_sort(F.map_entries("context")))
+    kept = first_wins(good, "path", ["entry_no", "__context"]).drop("__context")
+    return kept.unionByName(made.where(F.col("error").isNotNull()))

@@ -6,7 +6,7 @@ depth halved every round. The data is then passed once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ UNKNOWN_ID = "unknown reference"
 NULL_RESULT = "null result"
 TOO_MANY = "recursive or too many substitutions"
 
+Functions = Mapping[str, Callable[[Column], Column]]
+
 _KEY = ["ref_group", "ref_id"]
 # While resolving, an unmet reference is noted with its group; which of the two unknown
 # errors it is gets decided once, at the end.
@@ -28,6 +30,7 @@ _UNMET = "unmet:"
 
 def _substitute(
     df: DataFrame, key: Sequence[str], text: str, lookup: DataFrame, count: Column, fits: bool,
+    functions: Functions | None,
 ) -> DataFrame:
     """Replace all references of ``text`` once: ``(*key, text, used, error)``.
 
@@ -60,6 +63,11 @@ def _substitute(
                            F.col("ref_value").alias("to_value"), F.col("used").alias("to_used"),
                            F.col("error").alias("to_error"), F.lit(True).alias("known"))
     met = lookup_join(parts, values, ["to_group", "to_id"], "left", [*key, "pos"], fits)
+    for group, compute in (functions or {}).items():
+        mine = F.col("to_group") == group
+        met = met.withColumns({
+            "to_value": F.when(mine, compute(F.col("to_id"))).otherwise(F.col("to_value")),
+            "known": F.when(mine, F.lit(True)).otherwise(F.col("known"))})
     problem = (
         F.when(F.col("known").isNull(), F.concat(F.lit(_UNMET), "to_group"))
         .when(F.col("to_error").isNotNull(), F.col("to_error"))
@@ -78,7 +86,9 @@ def _substitute(
     return plain.unionByName(excess).unionByName(done)
 
 
-def resolve_lookup(refs: DataFrame) -> tuple[DataFrame, bool]:
+def resolve_lookup(
+    refs: DataFrame, functions: Functions | None = None
+) -> tuple[DataFrame, bool]:
     """The lookup table with the references inside its values resolved; does it fit a broadcast.
 
     Every round replaces each reference by the current value of its target, so the nesting
@@ -100,24 +110,30 @@ def resolve_lookup(refs: DataFrame) -> tuple[DataFrame, bool]:
         fits = found["n"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES
         if not found["open"]:
             return now, fits
-        next_ = _substitute(now.where(is_open), _KEY, "ref_value", now, F.col("used"), fits)
+        next_ = _substitute(now.where(is_open), _KEY, "ref_value", now, F.col("used"), fits,
+                            functions)
         now, _ = tables.write(now.where(~is_open).unionByName(
             next_.withColumnRenamed("text", "ref_value")
             .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error"))))
 
 
 def resolve_refs(
-    df: DataFrame, key: Sequence[str], text: str, refs: DataFrame
+    df: DataFrame,
+    key: Sequence[str],
+    text: str,
+    refs: DataFrame,
+    functions: Functions | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(key, text with all references replaced)`` and ``(key, error)``.
 
-    ``key`` identifies a row. Errors: unknown group or id, a null value, and recursion or 255
+    ``key`` identifies a row. ``functions`` are groups whose values are computed from the id
+    rather than looked up; their results are taken as they are. Errors: unknown group or id, a null value, and recursion or 255
     substitutions in one text. Results are text; a reference that would only come into being
     by joining a value with its neighbours is not replaced.
     """
     key = list(key)
-    lookup, fits = resolve_lookup(refs)
-    done = _substitute(df, key, text, lookup, F.lit(0), fits)
+    lookup, fits = resolve_lookup(refs, functions)
+    done = _substitute(df, key, text, lookup, F.lit(0), fits, functions)
     resolved = done.where(F.col("error").isNull()).select(*key, F.col("text").alias(text))
     groups = refs.select(F.concat(F.lit(_UNMET), "ref_group").alias("error"),
                          F.lit(True).alias("known")).distinct()

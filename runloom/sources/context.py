@@ -20,39 +20,44 @@ _PARSED = T.StructType([
     T.StructField("leaves", T.ArrayType(_LEAF)), T.StructField("reason", T.StringType())])
 
 
-def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
-    items = (value.items() if isinstance(value, dict)
-             else enumerate(value) if isinstance(value, list) else None)
-    if items is None:
-        yield path, value if value is None or isinstance(value, str) else json.dumps(value)
-        return
-    if not value:
-        yield path, "{}" if isinstance(value, dict) else "[]"  # marker of an empty collection
-    for key, inner in items:
-        yield from _leaves(inner, f"{path}.{key}" if path else str(key))
-
-
-def _parse(name: str, text: str) -> tuple[list | None, str | None]:
-    try:
-        if name.endswith(INI_ENDINGS):
-            reader = configparser.ConfigParser()
-            reader.read_string(text)
-            content = {s: dict(reader._sections[s]) for s in reader.sections()}
-        elif name.endswith(JSON_ENDINGS):
-            content = json.loads(text)
-            if not isinstance(content, dict):
-                return None, "not a mapping"
-        else:
-            return None, "unknown format"
-    except (configparser.Error, ValueError) as e:
-        return None, f"malformed file: {type(e).__name__}"
-    return [{"path": p, "value": v} for p, v in _leaves(content, "")], None
-
-
-@F.pandas_udf(_PARSED)
-def _parse_files(name: pd.Series, text: pd.Series) -> pd.DataFrame:
-    parsed = [_parse(n, t) for n, t in zip(name, text)]
-    return pd.DataFrame({"leaves": [p[0] for p in parsed], "reason": [p[1] for p in parsed]})
+def _parser():
+    """The Arrow function that parses whole files.
+
+    Its helpers are local so that they travel with it: workers need not have this package.
+    """
+
+    def leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
+        items = (value.items() if isinstance(value, dict)
+                 else enumerate(value) if isinstance(value, list) else None)
+        if items is None:
+            yield path, value if value is None or isinstance(value, str) else json.dumps(value)
+            return
+        if not value:
+            yield path, "{}" if isinstance(value, dict) else "[]"  # marks an empty collection
+        for key, inner in items:
+            yield from leaves(inner, f"{path}.{key}" if path else str(key))
+
+    def parse(name: str, text: str) -> tuple[list | None, str | None]:
+        try:
+            if name.endswith(INI_ENDINGS):
+                reader = configparser.RawConfigParser()
+                reader.read_string(text)
+                content = {s: dict(reader._sections[s]) for s in reader.sections()}
+            elif name.endswith(JSON_ENDINGS):
+                content = json.loads(text)
+                if not isinstance(content, dict):
+                    return None, "not a mapping"
+            else:
+                return None, "unknown format"
+        except (configparser.Error, ValueError) as e:
+            return None, f"malformed file: {type(e).__name__}"
+        return [{"path": p, "value": v} for p, v in leaves(content, "")], None
+
+    def parse_files(name: pd.Series, text: pd.Series) -> pd.DataFrame:
+        parsed = [parse(n, t) for n, t in zip(name, text)]
+        return pd.DataFrame({"leaves": [p[0] for p in parsed], "reason": [p[1] for p in parsed]})
+
+    return F.pandas_udf(parse_files, _PARSED)
 
 
 def context_rows(
@@ -63,7 +68,7 @@ def context_rows(
     The name ending picks the format. INI sections become the first path segment. One file
     is one row, parsed in Arrow batches; the rows of all files are spread by Spark.
     """
-    parsed = files.select(F.col(name).alias("file"), _parse_files(name, text).alias("__p"))
+    parsed = files.select(F.col(name).alias("file"), _parser()(name, text).alias("__p"))
     rows = parsed.where(F.col("__p.reason").isNull()).select(
         "file", F.explode("__p.leaves").alias("leaf")).select("file", "leaf.path", "leaf.value")
     bad = parsed.where(F.col("__p.reason").isNotNull()).select("file", "__p.reason")

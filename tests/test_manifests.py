@@ -58,10 +58,21 @@ def test_paths_of_a_template(spark, rows):
 def test_documented_tree(spark):
     """Two iterations: five files and three directories, as in the documented example."""
     grid = G.param_grid(spark, {}, {"iterNo": [1, 2]})
-    templates = {"dirs": ["common", "iter-{iterNo}"],
-                 "files": ["common/readme", "iter-{iterNo}/in", "iter-{iterNo}/out"]}
-    count = {k: sum(P.render_distinct(grid, t).count() for t in v) for k, v in templates.items()}
-    assert count == {"dirs": 3, "files": 5}
+    made = P.expand_manifest(grid, [
+        P.Entry("common"), P.Entry("common/readme", True, "readme"), P.Entry("iter-{iterNo}"),
+        P.Entry("iter-{iterNo}/in", True), P.Entry("iter-{iterNo}/out", True, "out"),
+        P.Entry("common", alias="again"), P.Entry("x/{missing}"),
+        P.Entry("never-{iterNo}", conditions=("eval:iterNo > 5",))]).collect()
+    assert sorted(r.path for r in made if r.error is None and r.is_file) == [
+        "common/readme", "iter-1/in", "iter-1/out", "iter-2/in", "iter-2/out"]
+    assert sorted(r.path for r in made if r.error is None and not r.is_file) == [
+        "common", "iter-1", "iter-2"]
+    assert [r.alias for r in made if r.path == "common"] == [None]
+    assert {r.path: r.context for r in made if r.alias == "out"} == {
+        "iter-1/out": {"iterNo": "1"}, "iter-2/out": {"iterNo": "2"}}
+    assert [r.error for r in made if r.error] == ["missing key: missing"]
+    with pytest.raises(ValueError):
+        P.expand_manifest(grid, [P.Entry("a", alias="x"), P.Entry("b", alias="x")])
 
 
 def test_strict_and_lenient_rendering(spark):

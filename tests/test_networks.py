@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.operators import graph as G
 from runloom.operators import refs as R
@@ -84,6 +85,17 @@ def test_reference_errors(spark, refs):
     assert bad == dict(enumerate(e for _, e in cases)) and not good
 
 
+def test_computed_groups(spark, refs):
+    df = spark.createDataFrame([(1, "$(MOCK:this must remain)"), (2, "a $(LMBD:result)$(SMPL:1)"),
+                                (3, "$(NONE:x)"), (4, "$(MOCK:)")], "row_id BIGINT, text STRING")
+    good, bad = R.resolve_refs(df, ["row_id"], "text", refs, {
+        "MOCK": lambda i: i, "LMBD": lambda i: F.concat(F.lit("I'm a lambda "), i),
+        "NONE": lambda i: F.lit(None).cast("string")})
+    assert {r.row_id: r.text for r in good.collect()} == {
+        1: "this must remain", 2: "a I'm a lambda resultone", 4: ""}
+    assert {r.row_id: r.error for r in bad.collect()} == {3: R.NULL_RESULT}
+
+
 def test_substitution_bound(spark, refs):
     good, bad = resolve(spark, refs, ["$(SMPL:1)" * 254, "$(SMPL:1)" * 255, "$(SMPL:deep1)" * 127,
                                       "$(SMPL:deep1)" * 128, "$(SMPL:1)" * 300])

@@ -157,7 +157,7 @@ def test_job_list(spark, rows):
 
 def test_queue_list(spark):
     good, _ = lines.parse_lines(text(
-        spark, "794402.0   rdusaev        10/20 18:15   0+00:00:00 I  0    0.0 one.sh foo bar"),
+        spark, "794402.0   carol          10/20 18:15   0+00:00:00 I  0    0.0 one.sh foo bar"),
         "queue_list")
     row = good.collect()[0]
     assert (row.jobID, row.submTimedate, row.runTime, row.jobState, row.cmd) == (
