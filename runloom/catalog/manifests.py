@@ -11,6 +11,7 @@ from runloom.functions import scalars
 from runloom.operators import grid as G
 from runloom.operators import overlay as O
 from runloom.operators import paths as P
+from runloom.operators.contents import content_dedup
 from runloom.session import scratch_dir
 from runloom.sources import context, files
 
@@ -383,8 +384,5 @@ def path_normalize(t: Tables) -> DataFrame:
         SELECT sha1(text) AS digest, min(doc_id) AS first_id, count(*) AS n_copies
         FROM documents GROUP BY ALL), LATERAL (
         SELECT rtrim(base64(unhex(digest)), '=') AS token)""")
-def content_dedup(t: Tables) -> DataFrame:
-    # The text is hashed in the scan and does not take part in the shuffle.
-    docs = t.given("documents").select("doc_id", scalars.content_token(F.col("text")).alias("token"))
-    return docs.groupBy("token").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+def distinct_contents(t: Tables) -> DataFrame:
+    return content_dedup(t.given("documents"), "text", "doc_id")

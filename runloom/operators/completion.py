@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.monitor import Store
-from runloom.plans.joins import HOT_ROWS, MAX_HOT, salted_join
+from runloom.plans.joins import HOT_ROWS
 from runloom.schema import ARRAY, PROC, UNIT
 
 TOLERANCE_MEANINGS = ("failures", "min_success")
@@ -42,20 +42,30 @@ def unit_states(events: DataFrame) -> DataFrame:
     )
 
 
-def _big_arrays(processes: DataFrame, hot_rows: int) -> DataFrame:
-    """Arrays whose number of units makes them hot, known from their declared size."""
-    return (
-        processes.where(F.col("n_jobs") >= hot_rows)
-        .orderBy(F.col("n_jobs").desc(), *PROC).limit(MAX_HOT)
-        .select(*PROC, F.ceil((F.col("n_jobs") + 1) / hot_rows).cast("int").alias("__salts"))
-    )
+def _legal_units(events: DataFrame, processes: DataFrame, portion: int) -> DataFrame:
+    """``(*PROC, state)`` of the units a process may have.
+
+    Units meet their process by (process, portion of the index range), so a huge array is
+    spread over many keys of at most ``portion`` units each, and an index far out of range
+    finds no partner. Nearly all processes have a single portion.
+    """
+    share = F.coalesce(F.floor(F.col("array_index") / portion), F.lit(0)).alias("__share")
+    units = unit_states(events).select("*", share)
+    last = F.coalesce(F.floor(F.col("n_jobs") / portion), F.lit(0))
+    owners = processes.select(
+        *PROC, "kin", F.col("n_jobs").alias("__n_jobs"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0).cast("bigint"))))
+        .alias("__share"))
+    legal = F.when(F.col("kin") == ARRAY, F.col("array_index").between(0, F.col("__n_jobs")))
+    met = units.join(owners, [*PROC, "__share"])
+    return met.where(F.coalesce(legal, F.col("kin") != ARRAY)).select(*PROC, "state")
 
 
 def process_states(
     processes: DataFrame,
     events: DataFrame,
     tolerance_means: str = "failures",
-    hot_rows: int = HOT_ROWS,
+    portion: int = HOT_ROWS,
 ) -> DataFrame:
     """pending / running / ok / failed for every process.
 
@@ -64,12 +74,8 @@ def process_states(
     """
     if tolerance_means not in TOLERANCE_MEANINGS:
         raise ValueError(f"tolerance_means must be one of {TOLERANCE_MEANINGS}")
-    owners = processes.select(*PROC, "kin", "n_jobs")
-    units = salted_join(unit_states(events), owners, PROC, "inner", salt_by=["array_index"],
-                        hot=_big_arrays(processes, hot_rows))
-    legal = F.when(F.col("kin") == ARRAY, F.col("array_index").between(0, F.col("n_jobs")))
     counts = (
-        units.where(F.coalesce(legal, F.col("kin") != ARRAY)).groupBy(*PROC)
+        _legal_units(events, processes, portion).groupBy(*PROC)
         .agg(
             F.count_if(F.col("state") == "ok").alias("n_ok"),
             F.count_if(F.col("state").isin("failed", "interrupted")).alias("n_bad"),

@@ -104,17 +104,27 @@ def resolve_lookup(
         F.when(F.col("ref_value").isNull(), NULL_RESULT).otherwise(loops).alias("error")))
     is_open = F.coalesce(F.col("error").isNull() & F.col("ref_value").rlike(REFERENCE),
                          F.lit(False))
+    settled, n_settled, bytes_settled = None, 0, 0
     while True:
-        found = now.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_open).alias("open"),
-                        F.sum(volume(now)).alias("bytes")).first()
-        fits = found["n"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES
-        if not found["open"]:
-            return now, fits
-        next_ = _substitute(now.where(is_open), _KEY, "ref_value", now, F.col("used"), fits,
+        lookup = now if settled is None else settled.unionByName(now)
+        done = ~is_open
+        found = now.agg(
+            F.count(F.lit(1)).alias("n"), F.sum(volume(now)).alias("bytes"),
+            F.count_if(done).alias("n_done"),
+            F.sum(F.when(done, volume(now))).alias("bytes_done")).first()
+        fits = (n_settled + found["n"] <= BROADCAST_ROWS
+                and bytes_settled + (found["bytes"] or 0) <= BROADCAST_BYTES)
+        if found["n_done"] == found["n"]:
+            return lookup, fits
+        next_ = _substitute(now.where(is_open), _KEY, "ref_value", lookup, F.col("used"), fits,
                             functions)
-        now, _ = tables.write(now.where(~is_open).unionByName(
+        n_settled += found["n_done"]
+        bytes_settled += found["bytes_done"] or 0
+        # A settled reference stays in the table of its round; later rounds hold the open ones.
+        settled = tables.all(now).where(done)
+        now, _ = tables.write(
             next_.withColumnRenamed("text", "ref_value")
-            .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error"))))
+            .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error")))
 
 
 def resolve_refs(

@@ -119,10 +119,10 @@ def _log(spark, steps):
         for i, (p, x, c, code) in enumerate(steps)], E)
 
 
-def _states(spark, procs, log, mode="failures", hot_rows=1_000_000):
+def _states(spark, procs, log, mode="failures", portion=1_000_000):
     processes = spark.createDataFrame(procs, P)
     tasks = spark.createDataFrame([("t",)], "task_id STRING")
-    states = C.process_states(processes, log, mode, hot_rows)
+    states = C.process_states(processes, log, mode, portion)
     task = C.task_states(tasks, states).collect()[0].state
     return {r.process: r.state for r in states.collect()}, task
 
@@ -147,8 +147,8 @@ def test_four_jobs(spark):
 @pytest.mark.parametrize("mode,tolerance,want", [
     ("failures", 3, "ok"), ("min_success", 3, "ok"), ("min_success", 4, "running"),
     ("failures", 0, "failed"), ("min_success", 5, "failed")])
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_mixed_arrays(spark, mode, tolerance, want, hot_rows):
+@pytest.mark.parametrize("portion", [1, 2, 1_000_000])
+def test_mixed_arrays(spark, mode, tolerance, want, portion):
     log = _log(spark, [
         ("A", None, "TERMINATED", 0), ("B", None, "TERMINATED", 0),
         ("arrA", 1, "TERMINATED", 1), ("arrA", 2, "TERMINATED", 0), ("arrA", 4, "TERMINATED", 0),
@@ -156,7 +156,7 @@ def test_mixed_arrays(spark, mode, tolerance, want, hot_rows):
         ("arrB", 2, "TERMINATED", 0), ("arrB", 1, "BEAT", None), ("arrA", 9, "TERMINATED", 1)])
     procs = [("t", "A", None, 1, None, None), ("t", "B", None, 1, None, None),
              ("t", "arrA", None, 3, 5, tolerance), ("t", "arrB", None, 3, 2, None)]
-    states, task = _states(spark, procs, log, mode, hot_rows)
+    states, task = _states(spark, procs, log, mode, portion)
     assert states == {"A": "ok", "B": "ok", "arrA": want, "arrB": "running"}
     assert task == ("failed" if want == "failed" else "running")
 
