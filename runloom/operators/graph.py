@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import HOT_ROWS, salted_inner_join, salted_join
+from runloom.plans.joins import (
+    HOT_ROWS,
+    fits_broadcast,
+    lookup_join,
+    salted_inner_join,
+    salted_join,
+)
 from runloom.plans.nesting import MAX_ITEMS, nest
 from runloom.plans.rounds import RoundTables
 
@@ -71,21 +77,23 @@ def closure(
 
 
 def duplicate_names(
-    pairs: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS
+    pairs: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
 ) -> DataFrame:
     """Names borne by two different jobs of which one depends on the other: an error.
 
     ``pairs`` is the closure, ``nodes`` has ``node, name``. Nodes with a unique name are left
-    out before the closure is joined. One row per offending pair.
+    out before the closure is joined; the others are broadcast when they measure small. One
+    row per offending pair.
     """
     named = nodes.select("node", "name").distinct()
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     risky = salted_join(named, shared.select("name"), ["name"], "left_semi", salt_by=["node"],
                         hot_rows=hot_rows)
+    fits = fits_broadcast(risky) if fits is None else fits
     up = risky.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
     down = risky.select(F.col("node").alias("child"), "name")
-    met = salted_join(pairs, down, ["child"], "inner", salt_by=["parent"], hot_rows=hot_rows)
-    met = salted_join(met, up, ["parent"], "inner", salt_by=["child"], hot_rows=hot_rows)
+    met = lookup_join(pairs, down, ["child"], "inner", ["parent"], fits, hot_rows)
+    met = lookup_join(met, up, ["parent"], "inner", ["child"], fits, hot_rows)
     return met.where(
         (F.col("name") == F.col("parent_name")) & (F.col("parent") != F.col("child"))
     ).select("name", "parent", "child")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import salted_join
+from runloom.plans.joins import lookup_join
 from runloom.plans.nesting import nest
 from runloom.schema import ARRAY, PROC, STANDALONE, UNIT
 
@@ -201,8 +201,8 @@ def tasks_nested(store: Store, max_items: int = 100_000) -> DataFrame:
 def task_tags(tasks: DataFrame, bridge: DataFrame, tags: DataFrame,
               max_items: int = 100_000) -> DataFrame:
     """Tasks with their sorted tags; only tags of the tag table count."""
-    # Distinct pairs first, then a salted join: one tag may be on a third of all tasks.
-    known = salted_join(bridge.select("task_id", "tag").distinct(), tags.select("tag"), ["tag"],
+    # One tag may be on a third of all tasks: broadcast the tags, or salt when they are many.
+    known = lookup_join(bridge.select("task_id", "tag").distinct(), tags.select("tag"), ["tag"],
                         "left_semi", salt_by=["task_id"])
     lists = nest(known, ["task_id"], F.col("tag"), "tags", max_items=max_items)
     return tasks.select("task_id", "name").join(lists, "task_id")

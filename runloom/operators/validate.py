@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.fixed_values import EVENT_KEYS, TASK_LABELS
-from runloom.plans.joins import HOT_ROWS, salted_join
+from runloom.plans.joins import HOT_ROWS, lookup_join
 from runloom.schema import ARRAY, PROC, STANDALONE
 
 UNKNOWN_PROCESS = "unknown process"
@@ -47,15 +47,18 @@ def _missing_key(keys: Sequence[str]) -> Column:
     return F.when(F.size(absent) > 0, F.concat(F.lit("missing key: "), F.array_join(absent, ",")))
 
 
-def tag_events(events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def tag_events(
+    events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
+) -> DataFrame:
     """Events with a ``reason`` column: null when the event may be stored.
 
     Checked in this order: required keys, the process exists, its kind fits the presence of
-    an array index, the index is in range.
+    an array index, the index is in range. The process table is broadcast when it is measured
+    to be small (or the caller knows that it ``fits``).
     """
     owners = processes.select(
         *PROC, F.col("kin").alias("__kin"), F.col("n_jobs").alias("__n_jobs"))
-    joined = salted_join(events, owners, PROC, "left", hot_rows=hot_rows)
+    joined = lookup_join(events, owners, PROC, "left", fits=fits, hot_rows=hot_rows)
     index, kin = F.col("array_index"), F.col("__kin")
     reason = F.coalesce(
         _missing_key(EVENT_KEYS),
@@ -68,10 +71,10 @@ def tag_events(events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS
 
 
 def validate_events(
-    events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS
+    events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted with defaults filled, rejected with reason)``."""
-    accepted, rejected = split_by_reason(tag_events(events, processes, hot_rows))
+    accepted, rejected = split_by_reason(tag_events(events, processes, hot_rows, fits))
     return event_defaults(accepted), rejected
 
 

@@ -135,11 +135,13 @@ def lookup_join(
     how: str = "left",
     salt_by: Sequence[str] | None = None,
     fits: bool | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join with a lookup table: broadcast when measured to fit, else the salted shuffle join.
 
-    ``fits`` is the outcome of an earlier measurement.
+    The broadcast saves the shuffle of the big side. ``fits`` is the outcome of an earlier
+    measurement.
     """
     if fits_broadcast(right) if fits is None else fits:
         return left.join(F.broadcast(right), list(on), how)
-    return salted_join(left, right, on, how, salt_by)
+    return salted_join(left, right, on, how, salt_by, hot_rows=hot_rows)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runloom.plans.joins import salted_join
+from runloom.plans.joins import lookup_join, salted_join
 from runloom.schema import ARRAY, PROC, UNIT
 from runloom.sources.store import append
 
@@ -81,7 +81,7 @@ def stream_quench(
     def follow(batch: DataFrame, batch_id: int) -> None:
         # Combined per unit first, so that the join meets one row per unit.
         tops = batch.groupBy(*UNIT).agg(top)
-        rows = salted_join(tops, watched.select(*PROC), PROC, "left_semi", ["array_index"])
+        rows = lookup_join(tops, watched.select(*PROC), PROC, "left_semi", ["array_index"])
         append(rows.withColumn("bucket", bucket), f"{out}/units", ["bucket"], batch_id)
         unit_log = f"{_ddl(tops, tops.columns)}, batch BIGINT, bucket INT"
 

@@ -168,8 +168,8 @@ def test_unknown_meaning_is_refused(spark, events, processes):
 
 # --- validation ------------------------------------------------------------------------
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_every_rejected_event_has_its_reason(spark, processes, rows, hot_rows):
+@pytest.mark.parametrize("hot_rows,fits", [(2, False), (1_000_000, False), (2, None)])
+def test_every_rejected_event_has_its_reason(spark, processes, rows, hot_rows, fits):
     incoming = spark.createDataFrame([
         (1, "t", "tstArray1", -1), (2, "t", "tstArray1", 0), (3, "t", "tstArray1", 10),
         (4, "t", "tstArray1", 11), (5, "t", "someJob1", None), (6, "t", "someJob1", 1),
@@ -178,7 +178,7 @@ def test_every_rejected_event_has_its_reason(spark, processes, rows, hot_rows):
         "event_id BIGINT, task_id STRING, process STRING, array_index INT"
     ).withColumns({"progress": F.lit(None).cast("int"),
                    "received_at": F.lit(None).cast("timestamp")})
-    good, bad = V.validate_events(incoming, processes, hot_rows)
+    good, bad = V.validate_events(incoming, processes, hot_rows, fits)
     assert [r[0] for r in rows(good, "event_id")] == [2, 3, 5]
     assert good.where("progress = 0 AND received_at IS NOT NULL").count() == 3
     assert dict(rows(bad, "event_id", "reason")) == {

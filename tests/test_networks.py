@@ -38,12 +38,12 @@ def test_adjacency_and_union(spark):
     assert listed == {"a": ["b", "c"], "b": ["c"], "c": None}
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_duplicate_names(spark, rows, hot_rows):
+@pytest.mark.parametrize("hot_rows,fits", [(2, False), (1_000_000, False), (2, None)])
+def test_duplicate_names(spark, rows, hot_rows, fits):
     nodes = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("c", "n1"), ("d", "n2")],
                                   "node STRING, name STRING")
     pairs = G.closure(edges(spark, "ab", "bc", "ad"))
-    assert rows(G.duplicate_names(pairs, nodes, hot_rows)) == [("n1", "a", "c")]
+    assert rows(G.duplicate_names(pairs, nodes, hot_rows, fits)) == [("n1", "a", "c")]
 
 
 REFS = [("SMPL", "1", "one"), ("SMPL", "two", "2"), ("SMPL", "null", ""), ("SMPL", "", "nothing"),
