@@ -46,14 +46,16 @@ def collision_rename(
     """
     tagged = tag_task_names(incoming, tasks, order, hot_rows)
     suffixed = F.concat_ws("-", "name", F.col(order).cast("string"))
-    wanted = tagged.withColumn("__try", F.when(F.col("reason").isNotNull(), suffixed))
+    # A kept name asks for nothing; its key matches no name, yet differs from row to row.
+    idle = F.concat(F.lit("\u0000"), F.col(order).cast("string"))
+    wanted = tagged.withColumn("__try", F.when(F.col("reason").isNull(), idle).otherwise(suffixed))
     taken = (
         tasks.select(F.col("name").alias("__try"))
         .unionByName(incoming.select(F.col("name").alias("__try")))
         .distinct().withColumn("__taken", F.lit(True))
     )
-    # Suffixed names are nearly unique and the others are null, which the join spreads.
-    checked = salted_join(wanted, taken, ["__try"], "left", salt_by=[order], hot_rows=hot_rows)
+    # No key repeats on the left, so this join needs no salting.
+    checked = wanted.join(taken, "__try", "left")
     return checked.withColumns({
         "status": F.when(F.col("reason").isNull(), "kept")
         .when(F.col("__taken"), "refused").otherwise("renamed"),

@@ -27,8 +27,9 @@ def dag_adjacency(edges: DataFrame, nodes: DataFrame, max_items: int = MAX_ITEMS
 
     A node with more than ``max_items`` successors comes as several rows, see ``nest``.
     """
-    lists = nest(edges.select(F.col("parent").alias("node"), "child"), ["node"], F.col("child"),
-                 "successors", distinct=True, max_items=max_items)
+    out = edges.select(F.col("parent").alias("node"), "child")
+    lists = nest(out, ["node"], F.col("child"), "successors", distinct=True,
+                 max_items=max_items, counted=out)
     return nodes.select("node").join(lists, "node", "left")
 
 

@@ -194,7 +194,8 @@ def tasks_nested(store: Store, max_items: int = 100_000) -> DataFrame:
     """
     view = process_view(store.processes, store.events)
     item = F.struct("process", "type", "n_jobs", "f_tolerance", "progress", "last_event_class")
-    lists = nest(view, ["task_id"], item, "processes", max_items=max_items)
+    lists = nest(view, ["task_id"], item, "processes", max_items=max_items,
+                 counted=store.processes)
     return store.tasks.join(lists, "task_id", "left")
 
 
@@ -204,7 +205,7 @@ def task_tags(tasks: DataFrame, bridge: DataFrame, tags: DataFrame,
     # One tag may be on a third of all tasks: broadcast the tags, or salt when they are many.
     known = lookup_join(bridge.select("task_id", "tag").distinct(), tags.select("tag"), ["tag"],
                         "left_semi", salt_by=["task_id"])
-    lists = nest(known, ["task_id"], F.col("tag"), "tags", max_items=max_items)
+    lists = nest(known, ["task_id"], F.col("tag"), "tags", max_items=max_items, counted=bridge)
     return tasks.select("task_id", "name").join(lists, "task_id")
 
 

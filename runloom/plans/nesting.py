@@ -19,18 +19,20 @@ def nest(
     name: str,
     distinct: bool = False,
     max_items: int = MAX_ITEMS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``(*keys, part, name)``: the sorted list of ``item`` per key.
 
     A group of more than ``max_items`` is returned as several rows (``part`` 0, 1, ...), each
     with its own sorted list, so that no task has to hold a whole hot group. Smaller groups
-    give exactly one row, part 0.
+    give exactly one row, part 0. ``counted`` is a cheaper source of group sizes with the same
+    keys (or upper bounds of the sizes), so that ``df`` is computed once.
     """
     keys = list(keys)
     flat = df.select(*keys, item.alias("__item"))
     if distinct:
         flat = flat.distinct()
-    hot = F.broadcast(hot_keys(flat, keys, max_items))
+    hot = F.broadcast(hot_keys(flat if counted is None else counted, keys, max_items))
     part = F.coalesce(F.pmod(F.xxhash64("__item"), F.col("__salts")), F.lit(0)).cast("int")
     return (
         flat.join(hot, keys, "left").withColumn("part", part)
