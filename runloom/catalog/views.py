@@ -62,7 +62,7 @@ class Tables:
         return customer.select(
             F.col("c_custkey").alias("task_id"), F.col("c_mktsegment").alias("tag")
         ).unionByName(
-            customer.join(F.broadcast(nation), "c_nationkey")  # 25 nations at every scale
+            customer.join(nation, "c_nationkey")
             .select(F.col("c_custkey").alias("task_id"), F.col("n_name").alias("tag"))
         )
 

@@ -119,7 +119,8 @@ def write_tree(
                     present, list(partition_cols), "left_semi").isEmpty():
                 raise FileExistsError(f"folders to be written exist below {root}")
     mode = "overwrite" if on_exists == "overwrite" else "append"
-    (writer.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    # One folder's rows together, large folders split: few files per folder.
+    (writer.hint("rebalance", *partition_cols).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_cols).text(root))
 
 

@@ -41,7 +41,13 @@ def read_store_jdbc(spark: SparkSession, url: str, **options: str) -> Store:
 def append(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), batch_id: int | None = None
 ) -> None:
-    """Append rows. With ``batch_id`` a repeated write of the same batch changes nothing."""
+    """Append rows. With ``batch_id`` a repeated write of the same batch changes nothing.
+
+    Rows of one folder are brought together before writing, large folders split over several
+    tasks (rebalance), so that tasks do not each write a small file into every folder.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     if batch_id is None:
         df.write.mode("append").partitionBy(*partition_by).parquet(path)
     else:
