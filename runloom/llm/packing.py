@@ -19,8 +19,10 @@ from runloom.llm.tokens import WordEncoder
 LENGTH = 1024
 END = 2
 # Steps of the search beyond the incumbent, and fillings tried around one document.
-NODES = 2_000
+NODES = 3_000
 FILLINGS = 24
+# Depths at which the rest is packed by best fit to look for a better incumbent.
+DIVE = 16
 # Rows of equal length that one task numbers.
 NUMBERED = 200_000
 
@@ -83,46 +85,64 @@ def lower_bound(counts: Counter, capacity: int) -> int:
     return bound
 
 
+def _maximal(counts: Counter, room: int, lengths: list[int], most: int) -> list[tuple[int, ...]]:
+    """Sets beside which nothing left fits, depth first from the largest lengths."""
+    found: list[tuple[int, ...]] = []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    for _ in range(most * 20):
+        if not stack:
+            break
+        start, left, chosen = stack.pop()
+        used = Counter(chosen)
+        options = []
+        for i in range(start, len(lengths)):
+            k = lengths[i]
+            if k <= left and used[k] < counts[k]:
+                options.append((i, left - k, (*chosen, k)))
+                if len(options) == most:
+                    break
+        if options:
+            stack.extend(reversed(options))
+        elif not any(k <= left and used[k] < counts[k] for k in lengths[:start]):
+            found.append(chosen)
+    return found
+
+
 def fillings(counts: Counter, room: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room`` besides the largest document, fullest first.
 
-    A length equal to the room dominates everything else. Otherwise each set is maximal
-    (nothing left fits beside it), and a set is dropped if another one, item for item, is at
-    least as large with no more items.
+    One document of the room's length dominates everything else. Next come pairs and triples
+    that leave no waste; without any, sets beside which nothing fits, and of these only those
+    that no other set with as few documents matches item for item.
     """
-    lengths = sorted((k for k, n in counts.items() if n and k <= room), reverse=True)
+    lengths = sorted((k for k, n in counts.items() if n > 0 and k <= room), reverse=True)
     if not lengths:
         return [()]
-    if counts[room]:
+    if counts[room] > 0:
         return [(room,)]
-    found: list[tuple[int, ...]] = []
-    budget = [most * 40]
 
-    def grow(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        if budget[0] <= 0:
-            return
-        budget[0] -= 1
-        deeper = False
-        for i in range(start, len(lengths)):
-            k = lengths[i]
-            if k <= left and chosen.count(k) < counts[k]:
-                deeper = True
-                grow(i, left - k, (*chosen, k))
-                if k == left or budget[0] <= 0:
-                    break
-        if not deeper and not any(k <= left and chosen.count(k) < counts[k] for k in lengths):
-            found.append(chosen)
+    def there(*items: int) -> bool:
+        return all(counts[k] >= n for k, n in Counter(items).items())
 
-    grow(0, room, ())
-    found.sort(key=lambda s: (-sum(s), len(s), tuple(-k for k in s)))
+    found = [(k, room - k) for k in lengths if 2 * k >= room and there(k, room - k)][:most]
+    for k in lengths if len(found) < most else ():
+        for j in lengths:
+            rest = room - k - j
+            if j <= k and 0 < rest <= j and there(k, j, rest):
+                found.append((k, j, rest))
+                break
+        if len(found) == most:
+            break
+    if found:
+        return found
+    sets = sorted(_maximal(counts, room, lengths, most),
+                  key=lambda s: (-sum(s), len(s), tuple(-k for k in s)))
     kept: list[tuple[int, ...]] = []
-    for s in found:
-        if not any(len(t) <= len(s) and all(a >= b for a, b in zip(t, s, strict=False))
+    for s in sets:
+        if not any(len(t) <= len(s) and all(x >= y for x, y in zip(t, s, strict=False))
                    and sum(t) >= sum(s) for t in kept):
             kept.append(s)
-        if len(kept) == most:
-            break
-    return kept or [()]
+    return kept[:most] or [()]
 
 
 def complete(
@@ -130,46 +150,51 @@ def complete(
 ) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion: branch on the fillings around the largest document left.
 
-    Best-fit decreasing is the first incumbent, and the best-fit packing of what a node leaves
-    open makes every node a candidate for the next. A node is pruned when the waste so far
-    exceeds what a better packing may waste in all. The filling of a node is repeated as long
-    as the documents last, so depth follows the number of different lengths. The search ends
-    when the incumbent meets the lower bound, or after ``nodes`` nodes: the result is then
-    still a whole packing, by the best incumbent.
+    Best-fit decreasing is the first incumbent, and the best-fit packing of what nodes leave
+    open gives the next ones. A node is pruned when the waste so far exceeds what a better
+    packing may waste in all. The filling of a node is repeated as long as the documents last,
+    so depth follows the number of different lengths. The search ends when the incumbent meets
+    the lower bound, or after ``nodes`` nodes: the incumbent is a whole packing at any time.
     """
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
     bound = lower_bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    steps = [nodes]
-
-    def search(left: Counter, done: list[tuple[tuple[int, ...], int]], bins: int, waste: int):
-        nonlocal best, used
-        if used <= bound or steps[0] <= 0:
-            return
-        steps[0] -= 1
-        rest = best_fit(left, capacity)
-        if bins + sum(n for _, n in rest) < used:
-            best, used = [*done, *rest], bins + sum(n for _, n in rest)
-        if not left or waste > (used - 1) * capacity - total:
-            return
+
+    def branches(left: Counter):
         largest = max(left)
         others = left.copy()
         others[largest] -= 1
         for filling in fillings(others, capacity - largest):
-            items = (largest, *filling)
-            need = Counter(items)
-            times = min(left[k] // n for k, n in need.items())
-            lost = (capacity - sum(items)) * times
-            if waste + lost > (used - 1) * capacity - total:
-                continue
-            after = Counter({k: n - need[k] * times for k, n in left.items()
-                             if n > need[k] * times})
-            search(after, [*done, (items, times)], bins + times, waste + lost)
-            if used <= bound or steps[0] <= 0:
-                return
-
-    search(Counter(counts), [], 0, 0)
+            yield (largest, *filling)
+
+    done: list[tuple[tuple[int, ...], int]] = []
+    # One entry per depth: what is left, sequences and waste so far, branches not yet taken.
+    stack = [(Counter(counts), 0, 0, branches(counts))] if counts else []
+    while stack and used > bound and nodes > 0:
+        left, bins, waste, open_ = stack[-1]
+        items = next(open_, None)
+        if items is None:
+            stack.pop()
+            if done:
+                done.pop()
+            continue
+        need = Counter(items)
+        times = min(left[k] // n for k, n in need.items())
+        bins, waste = bins + times, waste + (capacity - sum(items)) * times
+        if waste > (used - 1) * capacity - total:
+            continue
+        nodes -= 1
+        after = Counter({k: n - need[k] * times for k, n in left.items() if n > need[k] * times})
+        done.append((items, times))
+        if not after or len(stack) % DIVE == 0:
+            rest = best_fit(after, capacity)
+            if bins + sum(n for _, n in rest) < used:
+                best, used = [*done, *rest], bins + sum(n for _, n in rest)
+        if after:
+            stack.append((after, bins, waste, branches(after)))
+        else:
+            done.pop()
     return best
 
 
