@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import langid, line_spread, mixing, packing
+from runloom.llm import langid, line_spread, mixing, order_minhash, packing
 from runloom.llm.tables import stored
 
 # Packing and near-duplicates have no SQL form; tests compare with brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import langid, line_spread, mixing, packing, warc
+from runloom.llm import langid, line_spread, mixing, order_minhash, packing, warc
 from runloom.llm.tables import read
 from runloom.session import scratch_dir
 
@@ -25,6 +25,12 @@ def query(key: str, sql: str | None = None):
     return add
 
 
+@query("op1_order_minhash")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
