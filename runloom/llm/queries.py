@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import langid, line_spread, mixing, order_minhash, packing, warc
+from runloom.llm import caps, langid, line_spread, mixing, order_minhash, packing, topk, warc
 from runloom.llm.tables import read
 from runloom.session import scratch_dir
 
@@ -31,6 +31,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+@query("op2_exact_top_k")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -45,6 +50,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op6_cap_filters")
+def cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 LINE_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, text, source,
