@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import caps, langid, line_spread, mixing, order_minhash, packing, topk, warc
+from runloom.llm import (
+    caps,
+    langid,
+    line_spread,
+    mixing,
+    order_minhash,
+    packing,
+    repeats,
+    topk,
+    warc,
+)
 from runloom.llm.tables import read
 from runloom.session import scratch_dir
 
@@ -44,6 +54,12 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_longest_previous_factor")
+def longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op5_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select(
