@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.llm import (
     caps,
+    hosts,
     langid,
     line_spread,
     mixing,
@@ -71,6 +72,20 @@ def cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+@query("op7_link_trust")
+def link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 LINE_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, text, source,
