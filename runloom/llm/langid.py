@@ -62,7 +62,7 @@ def statistics(
         .where(F.col("number") <= docs_per_lang).select("doc_id", "lang").distinct())
     counted = (
         documents.where("text is not null and lang is not null")
-        .join(chosen, ["doc_id", "lang"], "left_semi")
+        .join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
         .select("lang", F.col("text").cast("binary").alias("text"))
         .mapInArrow(_count, "lang string, depth int, gram long, n long")
         .groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
