@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.tables import stored
 
 
+def _ranked(node: str) -> Column:
+    """Nodes in an order that does not follow their numbers, so that no long runs of it exist."""
+    return F.struct(F.xxhash64(node).alias("rank"), F.col(node).alias("node"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of a link; the component is its smallest node.
 
-    Every round points each node at its smallest neighbour, follows the pointers twice, and
-    replaces the ends of the links by them. Links inside a component vanish, so the rest
-    shrinks at least by half per round, and a star of any size is gone after one. Pointers are
-    aggregated map-side; no list of neighbours is ever built. Null ends and self links are
-    ignored; no links give an empty table.
+    Every round points each node at the first of itself and its neighbours in a random order,
+    then at what that one points at, and replaces the ends of the links by what they point at.
+    Links inside a component vanish; a star of any size is gone after one round, and of a
+    chain a constant share per round, however its nodes are numbered. Pointers are aggregated
+    map-side; no list of neighbours is ever built. Null ends and self links are ignored; no
+    links give an empty table.
     """
     edges = stored(
         links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -24,14 +30,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        pointer = stored(
-            both.groupBy("u").agg(F.min("v").alias("p"))
-            .select("u", F.least("u", "p").alias("p")), "pointers")
-        target = pointer.select(F.col("u").alias("t"), F.col("p").alias("next"))
-        for _ in range(2):
-            pointer = pointer.join(target, pointer["p"] == target["t"]).select(
-                "u", F.col("next").alias("p"))
-        pointer = stored(pointer, "pointers")
+        first = both.groupBy("u").agg(F.min(_ranked("v")).alias("v")).select(
+            "u", F.least(_ranked("u"), F.col("v"))["node"].alias("p"))
+        target = first.select(F.col("u").alias("p"), F.col("p").alias("next"))
+        pointer = stored(first.join(target, "p").select("u", F.col("next").alias("p")),
+                         "pointers")
         levels.append(pointer)
         left = pointer.select(F.col("u").alias("a"), F.col("p").alias("pa"))
         right = pointer.select(F.col("u").alias("b"), F.col("p").alias("pb"))
@@ -41,9 +44,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("a <> b").distinct(), "links")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = levels[-1].select(F.col("u").alias("node"), F.col("p").alias("component"))
+    found = levels[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
     for level in reversed(levels[:-1]):
-        upper = found.select(F.col("node").alias("p"), F.col("component"))
+        upper = found.select(F.col("node").alias("p"), "root")
         found = level.join(upper, "p", "left").select(
-            F.col("u").alias("node"), F.coalesce("component", "p").alias("component"))
-    return found
+            F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
+    smallest = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(smallest, "root").select("node", "component")

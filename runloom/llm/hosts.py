@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.tables import stored
-from runloom.plans.joins import fits_broadcast, salted_join
+from runloom.plans.joins import lookup_join
 
 # Rounds of the walk and the chance that it goes on along a link. What is still moving after
 # that many rounds is at most DAMPING ** ROUNDS of all mass.
@@ -69,7 +69,7 @@ def personalised_rank(
 
     ``edges`` (src, dst, weight) are followed by weight; ``seeds`` (host, seed) say where walks
     start, as shares of 1. A walk at a host without links ends there. Every round is one join
-    and one aggregate, written to the shared folder; hosts of many links are spread.
+    and one aggregate, written to the shared folder.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = stored(
@@ -81,8 +81,7 @@ def personalised_rank(
     scores = stored(start, "scores")
     for _ in range(rounds):
         moved = (
-            salted_join(shares, scores.withColumnRenamed("host", "src"), ["src"], "inner",
-                        salt_by=["dst"])
+            shares.join(scores.withColumnRenamed("host", "src"), "src")
             .groupBy(F.col("dst").alias("host"))
             .agg(F.sum(F.col("share") * F.col("score") * damping).alias("score")))
         scores = stored(moved.unionByName(start).groupBy("host").agg(
@@ -136,11 +135,8 @@ def judge_urls(
     hosts = stored(judge_hosts(pages.select(F.coalesce("url", F.lit("")).alias("url"), "html"),
                                rules), "host-scores")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    # All pages of a host look up one row: small tables are broadcast, larger ones spread.
-    if fits_broadcast(hosts):
-        joined = rows.join(F.broadcast(hosts), "host", "left")
-    else:
-        joined = salted_join(rows, hosts, ["host"], "left", salt_by=["page_id", "path"])
+    # All pages of a host look up one row: a table measured to be small is broadcast.
+    joined = lookup_join(rows, hosts, ["host"], "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     suspect = (F.col("distrust") - F.col("trust")
                > margin * (F.col("distrust") + F.col("trust")))

@@ -87,7 +87,7 @@ def _refined(sized: DataFrame, plan: DataFrame, step: int) -> DataFrame:
         F.shiftrightunsigned("hash", 64 - bits).alias("top"))
     # From the second level on only the boundary bucket of each source survives this join.
     open_ = plan.where("rest > 0").select("key", "threshold")
-    hits = lookup_join(inside, open_, ["key", "threshold"], "inner", salt_by=["hash"])
+    hits = lookup_join(inside, open_, ["key", "threshold"], "inner")
     buckets = hits.groupBy("key", "top").agg(F.sum("size").alias("words"))
     line = buckets.withColumn(
         "upto", F.sum("words").over(W.partitionBy("key").orderBy("top"))).join(
@@ -140,7 +140,6 @@ def _marked(documents: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         "source_size", "target", "full", "threshold").alias("__plan"))
     return lookup_join(
         documents.withColumn("__key", F.struct("source")), plan, ["__key"], "left",
-        salt_by=["doc_id"],
     ).withColumn("__copies", F.col("__plan.full") + F.when(below, 1).otherwise(0))
 
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.graph import components
@@ -23,6 +23,11 @@ from runloom.llm.tables import stored
 SKETCHES = 20
 KEPT = 4
 SIMILARITY = 0.8
+# Orders that choose the leaders of buckets; members of a bucket that one task compares with
+# as many others; and ranges of a fingerprint.
+ORDERS = 4
+PART = 256
+BINS = 512
 _ROW = 1 << 20
 
 
@@ -80,6 +85,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "digest", "n", "keys"])
 
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of labelled shingles of both texts: no order can match more."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity m / (len(a) + len(b) - m) where m shingles match in order; 0 if below ``least``.
 
@@ -92,45 +104,54 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
         return 0.0
     need = math.ceil(least * (na + nb) / (1 + least) - 1e-9)
     width = na + nb - 2 * need  # unmatched shingles that are allowed in all
-    if np.isin(b, a).sum() < need:
+    values, first, count = np.unique(a, return_index=True, return_counts=True)
+    place = np.minimum(np.searchsorted(values, b), len(values) - 1)
+    known = values[place] == b
+    if known.sum() < need:
         return 0.0
-    places: dict[int, list[int]] = {}
-    for i, x in enumerate(a.tolist()):
-        places.setdefault(x, []).append(i)
+    # Of a shingle that occurs once its position, of others a mask of all positions.
+    single = np.where(count == 1, first, -1)[place].tolist()
+    masks = {}
+    for v in np.unique(place[known & (count[place] > 1)]).tolist():
+        masks[v] = int.from_bytes(np.packbits(a == values[v], bitorder="little").tobytes(),
+                                  "little")
     lo, size = -width, 2 * width + 1
     full = (1 << size) - 1
     row, base = full, 0  # a zero bit at j: one more match at column lo + j than before it
     spare = nb - need
-    for j, x in enumerate(b.tolist()):
+    for j, (hit, at, v) in enumerate(zip(known.tolist(), single, place.tolist(), strict=True)):
         # Column lo of this row is j - width: shift the band by one.
         if j:
             base += not row & 1
             row = row >> 1 | 1 << (size - 1)
             lo += 1
-        found = places.get(x)
-        if found is None:
+        if not hit:
             spare -= 1
             if spare < 0:
                 return 0.0
             continue
-        hits = 0
-        if len(found) == 1:
-            at = found[0] - lo
-            if 0 <= at < size:
-                hits = 1 << at
+        if at >= 0:
+            if not lo <= at < lo + size:
+                continue
+            hits = 1 << (at - lo)
         else:
-            start, stop = np.searchsorted(found, (lo, lo + size))
-            for p in found[start:stop]:
-                hits |= 1 << (p - lo)
-        if hits:
-            both = row & hits
-            row = ((row + both) | (row & ~hits)) & full
+            hits = (masks[v] >> lo if lo >= 0 else masks[v] << -lo) & full
+        both = row & hits
+        row = ((row + both) | (row & ~hits)) & full
     matched = base + size - row.bit_count()
     similarity = matched / (na + nb - matched)
     return similarity if similarity >= least else 0.0
 
 
-@lru_cache(maxsize=256)
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts, as shingles, are similar enough; most that are not fail by counts."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    need = SIMILARITY * (len(a) + len(b)) / (1 + SIMILARITY) - 1e-9
+    return in_common(labelled(a), labelled(b)) >= need and aligned(a, b) > 0
+
+
+@lru_cache(maxsize=512)
 def _grams(packed: bytes) -> np.ndarray:
     return shingles(word_hashes(zstandard.decompress(packed)))
 
@@ -138,11 +159,10 @@ def _grams(packed: bytes) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("ta"), batch.column("tb")
-        score = [aligned(_grams(left[i].as_py()), _grams(right[i].as_py()))
-                 for i in range(batch.num_rows)]
+        good = [similar(_grams(left[i].as_py()), _grams(right[i].as_py()))
+                for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(score, pa.float64())],
-            names=["a", "b", "similarity"]).filter(pa.array([s > 0 for s in score]))
+            [batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,83 +177,189 @@ def _lowered(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.lower("text").cast("binary").alias("text"))
 
 
+def fingerprint(labels: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """16 bits of the least label of each of ``bins`` ranges of hashes, 0 for an empty range."""
+    out = np.zeros(bins, np.uint16)
+    ordered = np.sort(labels)
+    of = (ordered >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    out[of[first]] = (ordered[first] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out
+
+
+@lru_cache(maxsize=2048)
+def _profile(packed: bytes) -> tuple[np.ndarray, frozenset[int], np.ndarray]:
+    """Fingerprint, sketches and labelled shingles of a text."""
+    labels = labelled(_grams(packed))
+    keys = frozenset(order_sketches(labels).view(np.int64).tolist())
+    return fingerprint(labels), keys, labels
+
+
+def _possible(x: list[dict], y: list[dict]) -> list[tuple[float, int, int]]:
+    """Pairs that may be similar, the likeliest first.
+
+    The share of equal ranges estimates the similarity without order, which is never below
+    the one in order; pairs more than four standard errors below the threshold are left out.
+    """
+    a, b = (np.stack([r["profile"][0] for r in part]) for part in (x, y))
+    out = []
+    for i in range(len(a)):
+        equal = ((b == a[i]) & (b != 0)).sum(1)
+        used = np.maximum(((b != 0) | (a[i] != 0)).sum(1), 1)
+        share = equal / used
+        near = share >= SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / used)
+        out += [(-float(share[j]), i, j) for j in np.flatnonzero(near).tolist()]
+    return sorted(out)
+
+
+def _settle(rows: list[dict]) -> Iterator[tuple]:
+    """Links that join components, among the open members of a part and its other members."""
+    key = rows[0]["key"]
+    parent: dict = {}
+
+    def find(c):
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    for r in rows:
+        r["profile"] = _profile(r["packed"])
+    x = [r for r in rows if r["side"] == 0]
+    y = [r for r in rows if r["side"] == 1]
+    if not x or not y:
+        return
+    for _, i, j in _possible(x, y):
+        p, q = x[i], y[j]
+        if p["node"] == q["node"] or q["open"] and p["node"] > q["node"]:
+            continue
+        if min(p["n"], q["n"]) < SIMILARITY * max(p["n"], q["n"]):
+            continue
+        one, two = find(p["own"]), find(q["own"])
+        # A pair belongs to the first of its common buckets.
+        if one == two or min(p["profile"][1] & q["profile"][1], default=key) != key:
+            continue
+        if in_common(p["profile"][2], q["profile"][2]) < SIMILARITY * (p["n"] + q["n"]) / (
+                1 + SIMILARITY) - 1e-9:
+            continue
+        if aligned(_grams(p["packed"]), _grams(q["packed"])):
+            parent[one] = two
+            yield p["node"], q["node"]
+
+
+def _settle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    current, held = None, []
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            part = (r["key"], r["i"], r["j"])
+            if part != current:
+                found.extend(_settle(held) if held else ())
+                current, held = part, []
+            held.append(r)
+        yield _pairs(found, batch)
+    if held:
+        yield _pairs(list(_settle(held)), batch)
+
+
+def _pairs(found: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    kind = batch.schema.field("node").type
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+
 class _Candidates:
-    """Texts in buckets of equal sketches, and their pairs."""
+    """Texts in buckets of equal sketches."""
 
     def __init__(self, documents: DataFrame, nodes: DataFrame):
         self.documents = documents
+        self.kind = nodes.schema["node"].dataType.simpleString()
         rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+        # A few different orders choose the leaders, so that a text meets several of them.
+        rank = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
         lead = rows.groupBy("key").agg(
-            F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("members")
-        ).where("members > 1").select("key", "lead")
-        #: Members of buckets with two texts or more, each with the smallest one.
+            F.min(F.struct(rank.alias("rank"), "node", "n")).alias("lead"),
+            F.count(F.lit(1)).alias("members")).where("members > 1")
+        #: Members of buckets with two texts or more, each with the leader of its bucket.
         self.members = stored(
-            rows.join(lead, "key").select(
-                "key", "node", "n", F.col("lead.node").alias("lead"),
-                F.col("lead.n").alias("lead_n")), "buckets")
+            rows.join(lead.select("key", "lead.node", "lead.n", "members").toDF(
+                "key", "lead", "lead_n", "members"), "key"), "buckets")
 
-    @staticmethod
-    def _near(n: str, m: str):
-        """Sizes that a similar pair can have."""
-        return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """Compressed text of the wanted nodes; of rows that repeat an id one is taken."""
+        packed = _lowered(self.documents).where("doc_id is not null and text is not null").select(
+            F.col("doc_id").alias("node"), "text").mapInArrow(
+            _pack, f"node {self.kind}, packed binary")
+        return stored(packed.join(wanted.distinct(), "node", "left_semi"), "texts"
+                      ).dropDuplicates(["node"])
 
     def stars(self) -> DataFrame:
-        return self.members.where((F.col("node") != F.col("lead")) & self._near("n", "lead_n")
-                                  ).select(F.col("lead").alias("a"), F.col("node").alias("b")
-                                           ).distinct()
+        """Links of the members of each bucket with its leader."""
+        near = F.least("n", "lead_n") >= SIMILARITY * F.greatest("n", "lead_n")
+        pairs = stored(self.members.where((F.col("node") != F.col("lead")) & near).select(
+            F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(),
+            "pairs")
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        left = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
+        right = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
+        return stored(
+            pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+            .mapInArrow(_verify, f"a {self.kind}, b {self.kind}"), "near-links")
 
     def rest(self, labels: DataFrame) -> DataFrame | None:
-        """Pairs of a bucket that the stars left apart.
+        """Links between components that the stars left apart.
 
-        A member in the component of its bucket's smallest text is settled with every other
-        such member. The others are paired with all members outside their own component.
+        A member in the component of its bucket's leader is settled with every other such
+        member. The open ones are compared with all members outside their component, in parts
+        of at most PART of either, which one task compares without listing pairs.
         """
-        label = labels.select(F.col("node"), F.col("component").alias("own"))
-        lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("of_lead"))
-        members = (
-            self.members.join(label, "node", "left").join(lead, "lead", "left")
-            .withColumn("own", F.coalesce("own", "node"))
-            .withColumn("of_lead", F.coalesce("of_lead", "lead")))
-        open_ = stored(members.where("own <> of_lead").select("key", "node", "n", "own"), "open")
-        if open_.isEmpty():
+        own = labels.select("node", F.col("component").alias("own"))
+        of_lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("of_lead"))
+        members = stored(
+            self.members.select("key", "node", "n", "lead").join(own, "node", "left")
+            .join(of_lead, "lead", "left").select(
+                "key", "node", "n", F.coalesce("own", "node").alias("own"),
+                (F.coalesce("own", "node") != F.coalesce("of_lead", "lead")).alias("open")),
+            "labelled")
+        sizes = members.groupBy("key").agg(
+            F.ceil(F.count_if("open") / PART).alias("ps"), F.ceil(F.count(F.lit(1)) / PART)
+            .alias("qs")).where("ps > 0")
+        sized = stored(members.join(sizes, "key"), "open-buckets")
+        if sized.isEmpty():
             return None
-        x = open_.select("key", F.col("node").alias("x"), F.col("n").alias("xn"),
-                         F.col("own").alias("x_own"))
-        return x.join(
-            members.where(F.col("node") != F.col("lead")),
-            ["key"]).where((F.col("x_own") != F.col("own")) & self._near("xn", "n")).select(
-            F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that alignment confirms: ``(a, b, similarity)``."""
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(
-            pairs.select(F.col("b").alias("node"))).distinct()
-        kind = pairs.schema["a"].dataType.simpleString()
-        # Of rows that repeat an id any text will do: one is taken.
-        packed = _lowered(self.documents).where("doc_id is not null and text is not null").select(
-            F.col("doc_id").alias("node"), "text").mapInArrow(
-            _pack, f"node {kind}, packed binary")
-        texts = stored(packed.join(wanted, "node", "left_semi"), "texts").dropDuplicates(["node"])
-        left = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
-        right = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
-        return stored(
-            pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(
-                _verify, f"a {kind}, b {kind}, similarity double"), "near-links")
+        part = F.xxhash64(F.lit(5), F.col("node"))
+
+        def every(n: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+        columns = ["key", "node", "n", "own", "open"]
+        asks = sized.where("open").select(
+            *columns, F.lit(0).alias("side"), F.pmod(part, F.col("ps")).alias("i"),
+            every("qs").alias("j"))
+        answers = sized.select(
+            *columns, F.lit(1).alias("side"), F.pmod(part, F.col("qs")).alias("j"),
+            every("ps").alias("i"))
+        placed = asks.unionByName(answers)
+        texts = self._texts(sized.select("node"))
+        grouped = placed.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions(
+            "key", "i", "j")
+        return stored(grouped.mapInArrow(_settle_parts, f"a {self.kind}, b {self.kind}"),
+                      "near-links")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``(doc_id, class_id, n_links)`` per row: the class of near-duplicates of each document.
+    """``(doc_id, class_id)`` per row: the class of near-duplicates of each document.
 
     Texts are compared as runs of five words: lower-cased, split at everything but letters and
     digits. Two texts are linked when their similarity is 0.8 or more: shingles matched in
     order, as a share of all shingles of both. A class is what links reach, named by its
-    smallest id; ``n_links`` counts different texts linked to this one that were compared.
+    smallest id.
 
     Equal texts are one class without being compared, however many; of each, one represents
-    all. Candidates agree in one sketch at least: every text is aligned with the smallest of
-    its bucket, then those that failed with the other members outside their component, so that
-    no bucket is expanded into pairs unless its texts differ.
+    all. Candidates agree in one sketch at least: every text is aligned with a leader of each
+    of its buckets; then the ones that this left outside the leader's component meet all other
+    members outside their own, in parts of bounded size, where only pairs whose fingerprints
+    come near are aligned. No bucket is expanded into rows of pairs.
 
     A text of fewer than five words is one shingle; texts without words are equal only byte
     for byte. Null text is in no class but its own. A null id gets the class of its text, or
@@ -248,22 +374,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             F.min_by(F.struct(F.col("doc_id").alias("node"), "n", "keys"), "doc_id").alias("r"))
         .select("digest", "r.*"), "nodes")
     candidates = _Candidates(documents, nodes.where("n > 0"))
-    links = candidates.links(candidates.stars())
+    links = candidates.stars()
     found = components(links)
     rest = candidates.rest(found)
-    if rest is not None:
-        links = links.unionByName(candidates.links(rest)).dropDuplicates(["a", "b"])
-        found = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_links"))
-    classes = (
-        nodes.select("digest", "node").join(found, "node", "left").join(counts, "node", "left")
-        .select("digest", F.coalesce("component", "node").alias("class_id"),
-                F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    if rest is not None and not rest.isEmpty():
+        found = components(links.unionByName(rest))
+    classes = nodes.join(found, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("class_id"))
     named = sketched.select("doc_id", "digest").join(classes, "digest", "left")
-    return named.select(
-        "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-        .alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return named.select("doc_id", F.when(F.col("digest").isNull(), F.col("doc_id"))
+                        .otherwise(F.col("class_id")).alias("class_id"))
 
 
 def drop_duplicates(documents: DataFrame) -> DataFrame:

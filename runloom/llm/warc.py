@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
         .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
         .where("first <> last").select("digest", "first"))
     # Payloads are moved once at most: lookups of a checked size are broadcast.
-    marked = lookup_join(kept, groups, ["digest"], "left", salt_by=["page_id"])
+    marked = lookup_join(kept, groups, ["digest"], "left")
     revisit = long_ & F.coalesce(F.col("page_id") != F.col("first"), F.lit(False))
     size = kept.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     (
@@ -290,8 +290,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     known = read.where("fault is null").groupBy(
         F.col("page_id").alias("refers_to"), "payload_digest").agg(
         F.max("payload_bytes").alias("payload_bytes"))
-    found = lookup_join(revisits, known, ["refers_to", "payload_digest"], "left",
-                        salt_by=["page_id"])
+    found = lookup_join(revisits, known, ["refers_to", "payload_digest"], "left")
     return read.unionByName(found.select(
         "page_id", "url", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"),
         "refers_to", F.when(F.col("payload_bytes").isNull(), F.lit("origin is missing"))
