@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def task_listing(t: Tables) -> DataFrame:
 
 
 @query("tasks_nested", """
-    SELECT t.task_id, t.name,
+    SELECT t.task_id, t.name, CASE WHEN count(process) > 0 THEN 0 END::BIGINT AS part,
            string_agg(process || ':' || type || ':' || coalesce(CAST(progress AS VARCHAR), '-')
                       || ':' || coalesce(last_event_class, '-'), ';' ORDER BY process) AS processes
     FROM m_tasks t LEFT JOIN v_process p USING (task_id) GROUP BY t.task_id, t.name""")
@@ -66,7 +68,8 @@ def tasks_nested(t: Tables) -> DataFrame:
     shown = F.transform("processes", lambda p: F.concat_ws(
         ":", p["process"], p["type"], F.coalesce(p["progress"].cast("string"), F.lit("-")),
         F.coalesce(p["last_event_class"], F.lit("-"))))
-    return nested.select("task_id", "name", F.array_join(shown, ";").alias("processes"))
+    return nested.select("task_id", "name", "part",
+                         F.array_join(shown, ";").alias("processes"))
 
 
 @query("process_polymorphic", """
@@ -95,12 +98,12 @@ def tasks_any_tag(t: Tables) -> DataFrame:
 
 
 @query("task_tags", """
-    SELECT task_id, name, string_agg(tag, ',' ORDER BY tag) AS tags
+    SELECT task_id, name, 0::BIGINT AS part, string_agg(tag, ',' ORDER BY tag) AS tags
     FROM m_tasks JOIN (SELECT DISTINCT * FROM m_task_tags) USING (task_id)
     WHERE tag IN (SELECT tag FROM m_tags) GROUP BY task_id, name""")
 def task_tags(t: Tables) -> DataFrame:
     found = M.task_tags(t.tasks, t.task_tags, t.tags)
-    return found.select("task_id", "name", F.array_join("tags", ",").alias("tags"))
+    return found.select("task_id", "name", "part", F.array_join("tags", ",").alias("tags"))
 
 
 @query("orphan_tags", """
@@ -110,22 +113,21 @@ def orphan_tags(t: Tables) -> DataFrame:
 
 
 @query("cascade_delete", """
-    SELECT 'tasks' AS kind, count(*) AS n_rows, sum(task_id)::BIGINT AS id_sum
+    SELECT 'tasks' AS kind, task_id, name AS item, NULL::BIGINT AS event_id
     FROM m_tasks WHERE task_id <> 7
-    UNION ALL SELECT 'task_tags', count(*), sum(task_id)::BIGINT FROM m_task_tags WHERE task_id <> 7
-    UNION ALL SELECT 'processes', count(*), sum(task_id)::BIGINT FROM m_processes WHERE task_id <> 7
-    UNION ALL SELECT 'events', count(*), sum(task_id)::BIGINT FROM m_events WHERE task_id <> 7""")
+    UNION ALL SELECT 'task_tags', task_id, tag, NULL FROM m_task_tags WHERE task_id <> 7
+    UNION ALL SELECT 'processes', task_id, process, NULL FROM m_processes WHERE task_id <> 7
+    UNION ALL SELECT 'events', task_id, process, event_id FROM m_events WHERE task_id <> 7""")
 def cascade_delete(t: Tables) -> DataFrame:
     left = M.cascade_delete(t.store, 7)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("task_id").alias("id_sum"))
-        .select(F.lit(kind).alias("kind"), "n_rows", "id_sum")
-        for kind, df in vars(left).items()
-    ]
-    out = counts[0]
-    for df in counts[1:]:
-        out = out.unionByName(df)
-    return out
+    nothing = F.lit(None).cast("bigint")
+    parts = [
+        df.select(F.lit(kind).alias("kind"), "task_id", F.col(item).alias("item"),
+                  (F.col("event_id") if kind == "events" else nothing).alias("event_id"))
+        for kind, df, item in (
+            ("tasks", left.tasks, "name"), ("task_tags", left.task_tags, "tag"),
+            ("processes", left.processes, "process"), ("events", left.events, "process"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("process_progress", """

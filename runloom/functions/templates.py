@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runloom.functions.pytext import formatted, plain, quoted
 
 def template_fields(template: str) -> list[str]:
     """Field names of a template, each once, in order of appearance."""
@@ -37,19 +37,6 @@ def field_column(schema: T.StructType, field: str) -> Column | None:
     return column
 
 
-def _shown(value: Column, spec: str) -> Column:
-    """Text of a value as string formatting shows it."""
-    if not spec:
-        text = value.cast("string")
-        is_bool = F.typeof(value) == "boolean"
-        return F.when(is_bool, F.initcap(text)).otherwise(text)
-    if re.fullmatch(r"0?\d+d", spec):
-        return F.format_string(f"%{spec}", value.cast("bigint"))
-    if re.fullmatch(r"0?\d*\.\d+f", spec):
-        return F.format_string(f"%{spec}", value.cast("double"))
-    raise NotImplementedError(f"format spec {spec!r}")
-
-
 def render_columns(
     values: dict[str, Column | None], template: str, strict: bool
 ) -> tuple[Column, Column]:
@@ -60,7 +47,7 @@ def render_columns(
     """
     pieces, absent = [], []
     for literal, field, spec, conversion in Formatter().parse(template):
-        if conversion:
+        if conversion not in (None, "", "s", "r"):
             raise NotImplementedError(f"conversion !{conversion}")
         if literal:
             pieces.append(F.lit(literal))
@@ -72,7 +59,8 @@ def render_columns(
             pieces.append(blank)
             absent.append(F.lit(field))
         else:
-            pieces.append(F.coalesce(_shown(column, spec or ""), blank))
+            shown = {"r": quoted, "s": plain}.get(conversion, lambda c: c)(column)
+            pieces.append(F.coalesce(formatted(shown, spec or ""), blank))
             absent.append(F.when(column.isNull(), F.lit(field)))
     text = F.concat(F.lit(""), *pieces)
     if not strict or not absent:

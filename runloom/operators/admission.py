@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import HOT_ROWS, salted_join
+from runloom.plans.joins import split_join
 
 STORED = "name is stored already"
 REPEATED = "name is repeated in the batch"
@@ -20,8 +20,7 @@ def _name_facts(incoming: DataFrame, tasks: DataFrame, order: str) -> DataFrame:
 
 
 def tag_task_names(
-    incoming: DataFrame, tasks: DataFrame, order: str = "submission_id",
-    hot_rows: int = HOT_ROWS,
+    incoming: DataFrame, tasks: DataFrame, order: str = "submission_id"
 ) -> DataFrame:
     """Incoming tasks with a ``reason`` when their name is taken.
 
@@ -29,14 +28,13 @@ def tag_task_names(
     must be unique.
     """
     facts = _name_facts(incoming, tasks, order)
-    joined = salted_join(incoming, facts, ["name"], "left", salt_by=[order], hot_rows=hot_rows)
+    joined = split_join(incoming, facts, ["name"])
     reason = F.when(F.col("__stored"), STORED).when(F.col(order) != F.col("__first"), REPEATED)
     return joined.withColumn("reason", reason).drop("__stored", "__first")
 
 
 def collision_rename(
-    incoming: DataFrame, tasks: DataFrame, order: str = "submission_id",
-    hot_rows: int = HOT_ROWS,
+    incoming: DataFrame, tasks: DataFrame, order: str = "submission_id"
 ) -> DataFrame:
     """Give every incoming task a free name: ``new_name`` and ``status``.
 
@@ -44,7 +42,7 @@ def collision_rename(
     same on every run and needs no numbering within a name. A suffixed name that is itself
     stored or asked for by another submission is ``refused`` and has no new name.
     """
-    tagged = tag_task_names(incoming, tasks, order, hot_rows)
+    tagged = tag_task_names(incoming, tasks, order)
     suffixed = F.concat_ws("-", "name", F.col(order).cast("string"))
     # A kept name asks for nothing; its key matches no name, yet differs from row to row.
     idle = F.concat(F.lit("\u0000"), F.col(order).cast("string"))
@@ -54,7 +52,6 @@ def collision_rename(
         .unionByName(incoming.select(F.col("name").alias("__try")))
         .distinct().withColumn("__taken", F.lit(True))
     )
-    # No key repeats on the left, so this join needs no salting.
     checked = wanted.join(taken, "__try", "left")
     return checked.withColumns({
         "status": F.when(F.col("reason").isNull(), "kept")

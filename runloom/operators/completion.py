@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.monitor import Store
-from runloom.plans.joins import HOT_ROWS
 from runloom.schema import ARRAY, PROC, UNIT
 
+# Indices of an array that meet their process under one key.
+PORTION = 1_000_000
+
 TOLERANCE_MEANINGS = ("failures", "min_success")
 
 # Event classes that end a unit (fixed values).
@@ -65,7 +67,7 @@ def process_states(
     processes: DataFrame,
     events: DataFrame,
     tolerance_means: str = "failures",
-    portion: int = HOT_ROWS,
+    portion: int = PORTION,
 ) -> DataFrame:
     """pending / running / ok / failed for every process.
 

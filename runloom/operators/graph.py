@@ -1,142 +1,273 @@
-"""Dependency graphs of submissions, as edges ``(parent, child)``: child needs parent."""
+"""Dependency graphs of submissions, as edges ``(parent, child)``: child needs parent.
+
+Long chains would take a round per edge. Nodes with one parent or one child at most are taken
+out first, half of a chain per round, by joining what is before them with what is behind them:
+that keeps who reaches whom and never adds edges. What was taken out is put back at the end.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runloom.plans.joins import (
-    HOT_ROWS,
-    fits_broadcast,
-    lookup_join,
-    salted_inner_join,
-    salted_join,
-)
 from runloom.plans.nesting import MAX_ITEMS, nest
 from runloom.plans.rounds import RoundTables
 
+# Taking nodes out goes on while a round removes at least this share of the edges.
+_SHARE = 0.1
+
 
 def edge_union(*edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, edges).select("parent", "child").distinct()
 
 
 def dag_adjacency(edges: DataFrame, nodes: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Every node with its sorted successors, null for none.
+    """Every node with its sorted distinct successors; list and ``part`` are null for none.
 
-    A node with more than ``max_items`` successors comes as several rows, see ``nest``.
+    A row holds at most ``max_items`` successors, see ``nest``.
     """
     out = edges.select(F.col("parent").alias("node"), "child")
-    lists = nest(out, ["node"], F.col("child"), "successors", distinct=True,
-                 max_items=max_items, counted=out)
+    lists = nest(out, ["node"], F.col("child"), "successors", max_items=max_items, counted=out)
     return nodes.select("node").join(lists, "node", "left")
 
 
-def _grow(step: DataFrame, n_steps: int, paths: DataFrame, n_paths: int,
-          hot_rows: int) -> DataFrame:
-    """Join paths that end in a node (``step``) with paths that start there.
+@dataclass
+class Contracted:
+    """Edges that are left, and per round the nodes taken out.
 
-    Both sides may be hot: nodes with very many ancestors, nodes with very many descendants.
+    A round's table has a row ``node, before, behind`` for every way through a node, with a
+    null where it has no parent or no child, and ``loop`` where it had an edge to itself.
     """
-    left = step.select("parent", F.col("child").alias("via"))
-    right = paths.select(F.col("parent").alias("via"), "child")
-    return salted_inner_join(left, right, ["via"], hot_rows, n_steps, n_paths).select(
-        "parent", "child").distinct()
 
+    core: DataFrame
+    rounds: list[DataFrame]
 
-def closure(
-    edges: DataFrame, roots: DataFrame | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """All ``(parent, child)`` pairs joined by a path, in a graph that may have cycles.
 
-    Without ``roots`` the reach doubles every round: the newest pairs are joined with all
-    pairs so far, so a chain of n edges takes log2(n) rounds. With ``roots`` (column ``node``)
-    only pairs that end in a root are followed, one edge per round. Every round is written to
-    the shared folder, and the loop ends when a round finds nothing new.
+def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
+    """Take out nodes that have one parent or one child at most and are not in ``keep``.
+
+    No two neighbours go in the same round: of two, the one with the smaller hash goes.
     """
     spark = edges.sparkSession
-    base = edges.select("parent", "child").distinct()
-    tables = RoundTables(spark, "closure")
+    cores, gone = RoundTables(spark, "core"), RoundTables(spark, "taken-out")
+    core, size = cores.write(edges.select("parent", "child").distinct())
+    rounds: list[DataFrame] = []
+    while size:
+        proper = core.where("parent <> child")
+        ends = proper.select(
+            F.col("parent").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs")
+        ).unionByName(core.select(
+            F.col("child").alias("node"), (F.col("parent") != F.col("child")).cast("int")
+            .alias("ins"), F.lit(0).alias("outs")))
+        free = ends.groupBy("node").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs")
+                                        ).where("ins <= 1 or outs <= 1")
+        if keep is not None:
+            free = free.join(keep.select("node"), "node", "left_anti")
+        free = free.select("node", F.xxhash64(F.lit(len(rounds)), "node").alias("rank"))
+        parent = free.select(F.col("node").alias("parent"), F.col("rank").alias("parent_rank"))
+        child = free.select(F.col("node").alias("child"), F.col("rank").alias("child_rank"))
+        losers = proper.join(parent, "parent").join(child, "child").select(
+            F.when(F.col("parent_rank") < F.col("child_rank"), F.col("child"))
+            .otherwise(F.col("parent")).alias("node"))
+        out, n_out = gone.write(free.join(losers, "node", "left_anti").select("node"))
+        if not n_out:
+            break
+        flag = F.lit(True)
+        marked, _ = cores.write(
+            core.join(out.select(F.col("node").alias("parent"), flag.alias("from_out")),
+                      "parent", "left")
+            .join(out.select(F.col("node").alias("child"), flag.alias("to_out")), "child", "left"))
+        ways = (
+            out.join(marked.where("to_out and parent <> child").select(
+                F.col("child").alias("node"), F.col("parent").alias("before")), "node", "left")
+            .join(marked.where("from_out and parent <> child").select(
+                F.col("parent").alias("node"), F.col("child").alias("behind")), "node", "left")
+            .join(marked.where("from_out and parent = child").select(
+                F.col("parent").alias("node"), flag.alias("loop")), "node", "left"))
+        ways, _ = gone.write(ways)
+        rounds.append(ways)
+        before = size
+        core, size = cores.write(
+            marked.where("from_out is null and to_out is null").select("parent", "child")
+            .unionByName(ways.where("before is not null and behind is not null").select(
+                F.col("before").alias("parent"), F.col("behind").alias("child"))).distinct())
+        if size > before * (1 - _SHARE):
+            break
+    return Contracted(core, rounds)
+
+
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """All ``(parent, child)`` pairs joined by a path, in a graph that may have cycles.
+
+    With ``roots`` (column ``node``) only pairs whose child is a root: the graph is contracted
+    around the roots, followed backwards from them one edge per round, and the nodes taken out
+    get the roots of what is behind them. Without ``roots`` the answer is quadratic by its
+    nature; the reach doubles every round. Every round is written to the shared folder.
+    """
     if roots is not None:
-        steps, n_steps = RoundTables(spark, "edges").write(base)
-        wanted = roots.select(F.col("node").alias("child")).distinct()
-        new, n = tables.write(salted_join(
-            steps, wanted, ["child"], "left_semi", hot_rows=hot_rows, left_rows=n_steps))
-        while n:
-            found = _grow(steps, n_steps, new, n, hot_rows)
-            new, n = tables.write(found.join(tables.all(base), ["parent", "child"], "left_anti"))
-        return tables.all(base)
+        return _closure_of(edges, roots.select("node").distinct())
+    base = edges.select("parent", "child").distinct()
+    tables = RoundTables(edges.sparkSession, "closure")
     new, n = tables.write(base)
-    total = n
     while n:
         so_far = tables.all(base)
-        found = _grow(new, n, so_far, total, hot_rows)
-        new, n = tables.write(found.join(so_far, ["parent", "child"], "left_anti"))
-        total += n
+        found = new.select("parent", F.col("child").alias("via")).join(
+            so_far.select(F.col("parent").alias("via"), "child"), "via").select("parent", "child")
+        new, n = tables.write(found.distinct().join(so_far, ["parent", "child"], "left_anti"))
     return tables.all(base)
 
 
-def duplicate_names(
-    pairs: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
-) -> DataFrame:
+def _closure_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    small = contract(edges, roots)
+    tables = RoundTables(edges.sparkSession, "closure")
+    wanted = roots.withColumnRenamed("node", "child")
+    new, n = tables.write(small.core.join(wanted, "child", "left_semi").select("parent", "child"))
+    while n:
+        found = small.core.withColumnRenamed("child", "via").join(
+            new.withColumnRenamed("parent", "via"), "via").select("parent", "child")
+        new, n = tables.write(
+            found.distinct().join(tables.all(found), ["parent", "child"], "left_anti"))
+    for ways in reversed(small.rounds):
+        pairs = tables.all(new)
+        behind = ways.where("behind is not null").select("node", "behind").distinct()
+        direct = behind.join(roots.withColumnRenamed("node", "behind"), "behind", "left_semi")
+        tables.write(
+            behind.join(pairs.withColumnRenamed("parent", "behind"), "behind")
+            .select(F.col("node").alias("parent"), "child")
+            .unionByName(direct.select(F.col("node").alias("parent"),
+                                       F.col("behind").alias("child"))).distinct())
+    return tables.all(new)
+
+
+def duplicate_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names borne by two different jobs of which one depends on the other: an error.
 
-    ``pairs`` is the closure, ``nodes`` has ``node, name``. Nodes with a unique name are left
-    out before the closure is joined; the others are broadcast when they measure small. One
-    row per offending pair.
+    ``nodes`` has ``node, name``. Only nodes that share their name matter: the graph is
+    contracted around them, each carries its name to what depends on it, as long as a node of
+    that name is still ahead. One row ``name, parent, child`` per offending pair.
     """
+    spark = edges.sparkSession
     named = nodes.select("node", "name").distinct()
-    shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    risky = salted_join(named, shared.select("name"), ["name"], "left_semi", salt_by=["node"],
-                        hot_rows=hot_rows)
-    fits = fits_broadcast(risky) if fits is None else fits
-    up = risky.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
-    down = risky.select(F.col("node").alias("child"), "name")
-    met = lookup_join(pairs, down, ["child"], "inner", ["parent"], fits, hot_rows)
-    met = lookup_join(met, up, ["parent"], "inner", ["child"], fits, hot_rows)
-    return met.where(
-        (F.col("name") == F.col("parent_name")) & (F.col("parent") != F.col("child"))
-    ).select("name", "parent", "child")
+    shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    risky, _ = RoundTables(spark, "shared-names").write(
+        named.join(shared.select("name"), "name", "left_semi").select("node", "name"))
+    core = contract(edges, risky.select("node").distinct()).core
+    # (node, name): a node of that name depends on this one.
+    ahead = RoundTables(spark, "names-ahead")
+    new, n = ahead.write(core.join(risky.withColumnRenamed("node", "child"), "child").select(
+        F.col("parent").alias("node"), "name").distinct())
+    while n:
+        found = core.join(new.withColumnRenamed("node", "child"), "child").select(
+            F.col("parent").alias("node"), "name").distinct()
+        new, n = ahead.write(found.join(ahead.all(found), ["node", "name"], "left_anti"))
+    ahead_all = ahead.all(new)
+    carried = RoundTables(spark, "names-carried")
+    start = risky.join(ahead_all, ["node", "name"], "left_semi")
+    new, n = carried.write(start.select(F.col("node").alias("origin"), "node", "name"))
+    met = RoundTables(spark, "names-met")
+    hits = None
+    while n:
+        step, _ = met.write(new.withColumnRenamed("node", "parent").join(core, "parent").select(
+            "origin", F.col("child").alias("node"), "name").distinct())
+        hits = step if hits is None else met.all(step)
+        new, n = carried.write(
+            step.join(ahead_all, ["node", "name"], "left_semi")
+            .join(carried.all(step), ["origin", "node", "name"], "left_anti"))
+    if hits is None:
+        return risky.select("name", F.col("node").alias("parent"),
+                            F.col("node").alias("child")).limit(0)
+    return hits.join(risky, ["node", "name"], "left_semi").where("origin <> node").select(
+        "name", F.col("origin").alias("parent"), F.col("node").alias("child")).distinct()
 
 
 def self_dependencies(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("parent") == F.col("child")).select(F.col("parent").alias("node"))
 
 
-# Peeling goes on while a round removes at least this share of the edges.
-_PEEL_SHARE = 0.2
+def _peel(core: DataFrame) -> DataFrame:
+    """Edges whose two ends are both parent and child of some edge."""
+    inner = core.select(F.col("parent").alias("node")).distinct().intersect(
+        core.select(F.col("child").alias("node")))
+    for end in ("parent", "child"):
+        core = core.join(inner.withColumnRenamed("node", end), end, "left_semi")
+    return core.select("parent", "child")
 
 
-def _peel(core: DataFrame, size: int, hot_rows: int) -> DataFrame:
-    """Edges whose two ends are both parent and child of some edge."""
-    one, none = F.lit(True), F.lit(False)
-    inner = (
-        core.select(F.col("parent").alias("node"), one.alias("starts"), none.alias("ends"))
-        .unionByName(core.select(F.col("child").alias("node"), none.alias("starts"),
-                                 one.alias("ends")))
-        .groupBy("node").agg(F.bool_or("starts").alias("starts"), F.bool_or("ends").alias("ends"))
-        .where("starts and ends").select("node")
-    )
-    for end, other in (("parent", "child"), ("child", "parent")):
-        core = salted_join(core, inner.withColumnRenamed("node", end), [end], "left_semi",
-                           salt_by=[other], hot_rows=hot_rows, left_rows=size)
-    return core
-
-
-def cycles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Nodes that depend on themselves; ``direct`` tells the self-edges.
+def _mutual(core: DataFrame) -> list[DataFrame]:
+    """``(node, label)`` of the nodes on cycles: nodes of one label reach each other.
 
-    Nodes without a parent or without a child lie on no cycle. They are peeled off while that
-    shrinks the graph noticeably, then the closure of the rest decides.
+    Labels spread forward, the smallest wins; the nodes that reach the node named by their
+    label, among those of the same label, are mutually reachable with it. They are taken out
+    with all edges between labels, which lie on no cycle, and the rest goes on.
     """
-    tables = RoundTables(edges.sparkSession, "core")
-    core, size = tables.write(edges.select("parent", "child").distinct())
-    before = None
-    while size and (before is None or size <= before * (1 - _PEEL_SHARE)):
+    spark = core.sparkSession
+    tables = RoundTables(spark, "mutual")
+    found: list[DataFrame] = []
+    core, size = tables.write(core)
+    while size:
         before = size
-        core, size = tables.write(_peel(core, size, hot_rows))
-    around = closure(core, hot_rows=hot_rows).where(F.col("parent") == F.col("child"))
-    direct = self_dependencies(core).withColumn("direct", F.lit(True))
-    return around.select(F.col("parent").alias("node")).join(direct, "node", "left").withColumn(
+        core, size = tables.write(_peel(core))
+        if size and size <= before * (1 - _SHARE):
+            continue
+        if not size:
+            break
+        label, _ = tables.write(core.select(F.explode(F.array("parent", "child")).alias("node"))
+                                .distinct().withColumn("label", F.col("node")))
+        changed = 1
+        while changed:
+            spread = core.join(label.withColumnRenamed("node", "parent"), "parent").groupBy(
+                F.col("child").alias("node")).agg(F.min("label").alias("seen"))
+            label, _ = tables.write(label.drop("moved").join(spread, "node", "left").select(
+                "node", F.least("label", F.coalesce("seen", "label")).alias("label"),
+                (F.col("seen") < F.col("label")).alias("moved")))
+            changed = label.where("moved").count()
+        label = label.select("node", "label")
+        inside, _ = tables.write(
+            core.join(label.withColumnRenamed("node", "parent"), "parent")
+            .join(label.select(F.col("node").alias("child"), F.col("label").alias("other")),
+                  "child").where("label = other").select("parent", "child", "label"))
+        reach = RoundTables(spark, "reach")
+        new, n = reach.write(label.where("node = label"))
+        while n:
+            step = inside.join(new.select(F.col("node").alias("child")), "child").select(
+                F.col("parent").alias("node"), "label").distinct()
+            new, n = reach.write(step.join(reach.all(step), ["node", "label"], "left_anti"))
+        mutual = reach.all(new)
+        both = inside.join(mutual.select(F.col("node").alias("parent")), "parent", "left_semi"
+                           ).join(mutual.select(F.col("node").alias("child")), "child",
+                                  "left_semi")
+        found.append(both.select(F.explode(F.array("parent", "child")).alias("node"), "label")
+                     .distinct())
+        core, size = tables.write(
+            inside.join(mutual.select(F.col("node").alias("parent")), "parent", "left_anti")
+            .join(mutual.select(F.col("node").alias("child")), "child", "left_anti")
+            .select("parent", "child"))
+    return found
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that depend on themselves; ``direct`` tells the self-edges.
+
+    The graph is contracted, the nodes left are parted into sets that reach each other, and a
+    node taken out belongs to the set that both a node before and one behind it belong to.
+    """
+    small = contract(edges)
+    tables = RoundTables(edges.sparkSession, "on-cycles")
+    kind = small.core.schema["parent"].dataType.simpleString()
+    nothing = edges.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
+    labels, _ = tables.write(reduce(DataFrame.unionByName, _mutual(small.core), nothing))
+    for ways in reversed(small.rounds):
+        known = tables.all(labels)
+        between = (
+            ways.join(known.select(F.col("node").alias("before"), "label"), "before")
+            .join(known.select(F.col("node").alias("behind"), F.col("label").alias("other")),
+                  "behind").where("label = other").select("node", "label"))
+        alone = ways.where("loop").select("node", F.col("node").alias("label"))
+        tables.write(between.unionByName(alone).groupBy("node").agg(
+            F.min("label").alias("label")))
+    direct = self_dependencies(edges).distinct().withColumn("direct", F.lit(True))
+    return tables.all(labels).select("node").join(direct, "node", "left").withColumn(
         "direct", F.coalesce("direct", F.lit(False)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, volume
+from runloom.plans.numbering import numbered
 
 ROWS_PER_TASK = 1_000_000
 _SCALARS = (bool, int, float, str)
@@ -79,34 +80,47 @@ def param_grid(
 
 
 def grid_of(sequences: Sequence[DataFrame], limit: int | None = None) -> DataFrame:
-    """Product of one-column DataFrames.
+    """Product of one-column DataFrames of any size; only ``limit`` refuses one.
 
-    The largest may have any size; the others are counted, must fit a broadcast, and are
-    looked up by position. Two sequences above that bound would make a product beyond 10^12
-    rows, which is refused.
+    Every sequence is measured. If all but the largest are small, the rows of the largest are
+    repeated and look the others up by position in a broadcast table. Otherwise the product is
+    enumerated by its running number, and each of its digits fetches the value at that
+    position: from a broadcast table, or from a large sequence by a shuffle join.
     """
     measured = [s.agg(F.count(F.lit(1)).alias("n"), F.sum(volume(s)).alias("bytes")).first()
                 for s in sequences]
     sizes = [m["n"] for m in measured]
     total = prod(sizes)
     _check_size(total, limit)
-    spine = max(range(len(sizes)), key=sizes.__getitem__)
-    out = sequences[spine]
-    if total > ROWS_PER_TASK:
-        out = out.repartition(min(sizes[spine], ceil(total / ROWS_PER_TASK)))
-    for i, (seq, m) in enumerate(zip(sequences, measured)):
-        if i == spine:
-            continue
-        if m["n"] > BROADCAST_ROWS or (m["bytes"] or 0) > BROADCAST_BYTES:
-            raise ValueError("only one sequence of a grid may exceed the broadcast bound")
+    small = [m["n"] <= BROADCAST_ROWS and (m["bytes"] or 0) <= BROADCAST_BYTES for m in measured]
+    names = [s.columns[0] for s in sequences]
+
+    def positions(i: int) -> DataFrame:
+        if not small[i]:
+            return numbered(sequences[i], [names[i]], "__digit")
         # At most BROADCAST_ROWS values, so one task can number them.
-        number = F.row_number().over(Window.orderBy(seq.columns[0])) - 1
-        numbered = seq.withColumn("__digit", number)
-        digits = F.explode(F.sequence(F.lit(0), F.lit(m["n"] - 1)) if m["n"]
-                           else F.array().cast("array<int>"))
-        out = out.withColumn("__digit", digits).join(
-            F.broadcast(numbered), "__digit").drop("__digit")
-    return out.select(*[s.columns[0] for s in sequences])
+        number = F.row_number().over(Window.orderBy(names[i])) - 1
+        return F.broadcast(sequences[i].withColumn("__digit", number.cast("bigint")))
+
+    spine = max(range(len(sizes)), key=sizes.__getitem__)
+    others = [i for i in range(len(sizes)) if i != spine]
+    if all(small[i] for i in others):
+        out = sequences[spine]
+        if total > ROWS_PER_TASK:
+            out = out.repartition(min(sizes[spine], ceil(total / ROWS_PER_TASK)))
+        for i in others:
+            digits = F.sequence(F.lit(0).cast("bigint"), F.lit(sizes[i] - 1).cast("bigint")) if (
+                sizes[i]) else F.array().cast("array<bigint>")
+            out = out.withColumn("__digit", F.explode(digits)).join(
+                positions(i), "__digit").drop("__digit")
+        return out.select(*names)
+    out = sequences[0].sparkSession.range(0, total, 1, max(1, ceil(total / ROWS_PER_TASK)))
+    stride = total
+    for i, size in enumerate(sizes):
+        stride = stride // size if size else 1
+        digit = F.expr(f"(id DIV {stride}L) % {max(size, 1)}L")
+        out = out.withColumn("__digit", digit).join(positions(i), "__digit").drop("__digit")
+    return out.select(*names)
 
 
 def arg_product(

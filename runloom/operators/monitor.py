@@ -40,17 +40,27 @@ def _arrival(*payload: str) -> Column:
 
 def task_by_name(tasks: DataFrame, name: str) -> DataFrame:
     """The task of that name or nothing; more than one is an error at run time."""
-    found = tasks.where(F.col("name") == name)
-    many = found.groupBy("name").agg(F.count(F.lit(1)).alias("__n")).select(
-        "name",
-        F.when(F.col("__n") > 1, F.raise_error(F.lit(f"several tasks are named {name}")))
-        .otherwise(F.lit(True)).cast("boolean").alias("__one"),
-    )
-    return found.join(many, "name").where(F.col("__one")).drop("__one")
+    return _one(tasks.where(F.col("name") == name), ["name"], f"tasks are named {name}")
+
+
+def _one(found: DataFrame, key: Sequence[str], what: str) -> DataFrame:
+    """The rows as they are; two of them under one key are an error at run time."""
+    many = found.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).select(
+        *key, F.when(F.col("__n") > 1, F.raise_error(F.lit(f"several {what}")))
+        .otherwise(F.lit(True)).cast("boolean").alias("__one"))
+    # One key is left, so this side holds at most one row.
+    return found.join(F.broadcast(many.limit(1)), list(key)).where("__one").drop("__one")
+
+
+def of_process(df: DataFrame, task: object, process: str) -> DataFrame:
+    """Rows of any table that belong to one process."""
+    return df.where((F.col("task_id") == task) & (F.col("process") == process))
 
 
 def process_by_key(processes: DataFrame, task: object, process: str) -> DataFrame:
-    return processes.where((F.col("task_id") == task) & (F.col("process") == process))
+    """The process or nothing; more than one is an error at run time."""
+    return _one(of_process(processes, task, process), PROC,
+                f"processes are named {process} in task {task}")
 
 
 def events_of(
@@ -64,7 +74,7 @@ def events_of(
 
     An index asked of a process that is not an array finds nothing.
     """
-    mine = process_by_key(events, task, process)
+    mine = of_process(events, task, process)
     owner = process_by_key(processes, task, process)
     if array_index is not None:
         mine = mine.where(F.col("array_index") == array_index)
@@ -190,7 +200,7 @@ def quench_flag(processes: DataFrame, events: DataFrame) -> DataFrame:
 def tasks_nested(store: Store, max_items: int = 100_000) -> DataFrame:
     """Each task with its processes (type, progress, last class) nested.
 
-    A task with more than ``max_items`` processes comes as several rows, see ``nest``.
+    A row holds at most ``max_items`` processes, see ``nest``; ``part`` is null without any.
     """
     view = process_view(store.processes, store.events)
     item = F.struct("process", "type", "n_jobs", "f_tolerance", "progress", "last_event_class")
@@ -201,10 +211,10 @@ def tasks_nested(store: Store, max_items: int = 100_000) -> DataFrame:
 
 def task_tags(tasks: DataFrame, bridge: DataFrame, tags: DataFrame,
               max_items: int = 100_000) -> DataFrame:
-    """Tasks with their sorted tags; only tags of the tag table count."""
-    # One tag may be on a third of all tasks: broadcast the tags, or salt when they are many.
+    """Tasks with their sorted tags, see ``nest``; only tags of the tag table count."""
+    # One tag may be on a third of all tasks: tags that measure small are broadcast.
     known = lookup_join(bridge.select("task_id", "tag").distinct(), tags.select("tag"), ["tag"],
-                        "left_semi", salt_by=["task_id"])
+                        "left_semi")
     lists = nest(known, ["task_id"], F.col("tag"), "tags", max_items=max_items, counted=bridge)
     return tasks.select("task_id", "name").join(lists, "task_id")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.fixed_values import SET_EXPRESSION, UNDEF_EXPRESSION
 from runloom.functions.scalars import capture
-from runloom.plans.joins import HOT_ROWS, salted_join
+from runloom.plans.joins import split_join
 from runloom.plans.rounds import RoundTables
 
 COLLECTION_CHANGE = "collection changes are not supported"
@@ -22,7 +22,7 @@ def _key() -> Column:
     return F.substring_index(F.col("path").cast("string"), ".", 1)
 
 
-def overlay_resolve(layers: DataFrame, nested: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlay_resolve(layers: DataFrame, nested: bool = False) -> DataFrame:
     """Live values: for every key the topmost layer that holds it wins, a tombstone hides it.
 
     Flat layers (one row per scope, layer and key) take one aggregation. With ``nested`` a key
@@ -34,15 +34,18 @@ def overlay_resolve(layers: DataFrame, nested: bool = False, hot_rows: int = HOT
         return top.where(~F.col("top.deleted")).select("scope", "path", "top.value")
     keyed = layers.withColumn("__key", _key())
     winner = keyed.groupBy("scope", "__key").agg(F.max("layer").alias("layer"))
-    live = salted_join(keyed, winner, ["scope", "__key", "layer"], "left_semi", hot_rows=hot_rows)
+    live = split_join(keyed, winner, ["scope", "__key", "layer"], "left_semi")
     return live.where(~F.col("deleted")).select("scope", "path", "value")
 
 
 def overlay_key_count(layers: DataFrame) -> DataFrame:
-    """Number of live top-level keys per scope."""
+    """Number of live top-level keys per scope.
+
+    A key is live when its winning layer holds anything that is not deleted below it.
+    """
     top = layers.groupBy("scope", _key().alias("key")).agg(
-        F.max_by("deleted", "layer").alias("deleted"))
-    return top.groupBy("scope").agg(F.count_if(~F.col("deleted")).alias("n_keys"))
+        F.max(F.struct("layer", (~F.col("deleted")).alias("live"))).alias("top"))
+    return top.groupBy("scope").agg(F.count_if("top.live").alias("n_keys"))
 
 
 def _ancestors(path: Column) -> Column:
@@ -54,7 +57,7 @@ def _ancestors(path: Column) -> Column:
                     lambda i: F.array_join(F.slice(parts, 1, i), ".")))
 
 
-def overlay_deep_merge(layers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def overlay_deep_merge(layers: DataFrame) -> DataFrame:
     """Merge all layers: mappings merge key by key, anything else replaces what was there.
 
     A leaf survives unless a higher layer has a leaf at its path, at an ancestor (a scalar
@@ -75,10 +78,8 @@ def overlay_deep_merge(layers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     # Only a path that is both leaf and prefix can hide what is below it.
     scalars = leaves.join(below, ["scope", "path"], "left_semi").select(
         "scope", F.col("path").alias("above"), F.col("layer").alias("above_layer"))
-    n_nodes = leaves.agg(F.sum(F.size(F.split("path", r"\.")) - 1)).first()[0] or 0
     hidden = (
-        salted_join(nodes, scalars, ["scope", "above"], "inner", salt_by=["path"],
-                    hot_rows=hot_rows, left_rows=n_nodes)
+        split_join(nodes, scalars, ["scope", "above"], "inner")
         .where(F.col("above_layer") > F.col("layer")).select("scope", "path").distinct()
     )
     return (
@@ -87,7 +88,7 @@ def overlay_deep_merge(layers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     )
 
 
-def dotted_get(layers: DataFrame, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dotted_get(layers: DataFrame, path: str) -> DataFrame:
     """Value at a dotted path per scope, the topmost layer that has the path.
 
     A layer without the path is passed through; a tombstone at the path or above it ends the
@@ -99,7 +100,7 @@ def dotted_get(layers: DataFrame, path: str, hot_rows: int = HOT_ROWS) -> DataFr
     rows = layers.where(
         (here == path) | here.startswith(path + ".") | (here.isin(above) & F.col("deleted")))
     top = rows.groupBy("scope").agg(F.max("layer").alias("layer"))
-    found = salted_join(rows, top, ["scope", "layer"], "left_semi", hot_rows=hot_rows)
+    found = split_join(rows, top, ["scope", "layer"], "left_semi")
     return found.where(~F.col("deleted")).select("scope", "path", "value", "layer")
 
 

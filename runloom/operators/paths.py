@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions.fixed_values import MANIFEST_KEY
+from runloom.functions.pytext import plain
 from runloom.functions.scalars import all_of, capture
 from runloom.functions.templates import field_column, render_columns, template_fields
 
@@ -39,7 +40,7 @@ def render(
     added = {"path": path, "error": error}
     if reflexive:
         pairs = [x for f in fields if values[f] is not None
-                 for x in (F.lit(f), values[f].cast("string"))]
+                 for x in (F.lit(f), plain(values[f]))]
         added["context"] = (F.create_map(*pairs) if pairs
                             else F.create_map().cast("map<string,string>"))
     return df.withColumns(added)
@@ -62,7 +63,7 @@ def render_distinct(
     path, error = render_columns({f: F.col(c) for f, c in used.items()}, template, strict)
     out = [path.alias("path"), error.alias("error")]
     if reflexive:
-        pairs = [x for f, c in used.items() for x in (F.lit(f), F.col(c).cast("string"))]
+        pairs = [x for f, c in used.items() for x in (F.lit(f), plain(F.col(c)))]
         out.append((F.create_map(*pairs) if pairs
                     else F.create_map().cast("map<string,string>")).alias("context"))
     return narrow.select(*out)

@@ -18,6 +18,7 @@ from runloom.plans.rounds import RoundTables
 UNKNOWN_GROUP = "unknown group"
 UNKNOWN_ID = "unknown reference"
 NULL_RESULT = "null result"
+AMBIGUOUS = "ambiguous reference"
 TOO_MANY = "recursive or too many substitutions"
 
 Functions = Mapping[str, Callable[[Column], Column]]
@@ -62,7 +63,7 @@ def _substitute(
     values = lookup.select(F.col("ref_group").alias("to_group"), F.col("ref_id").alias("to_id"),
                            F.col("ref_value").alias("to_value"), F.col("used").alias("to_used"),
                            F.col("error").alias("to_error"), F.lit(True).alias("known"))
-    met = lookup_join(parts, values, ["to_group", "to_id"], "left", [*key, "pos"], fits)
+    met = lookup_join(parts, values, ["to_group", "to_id"], "left", fits)
     for group, compute in (functions or {}).items():
         mine = F.col("to_group") == group
         met = met.withColumns({
@@ -94,14 +95,20 @@ def resolve_lookup(
     Every round replaces each reference by the current value of its target, so the nesting
     depth halves; ``used`` counts the substitutions behind a value. A value that has come to
     name itself is an error at once; any other cycle at least doubles its count per round and
-    becomes one within eight rounds. Rounds are written to the shared folder.
+    becomes one within eight rounds. Rounds are written to the shared folder. A key that comes
+    several times counts once; with different values it is an error for those who use it.
     """
+    refs = refs.groupBy(*_KEY).agg(
+        F.min("ref_value").alias("ref_value"),
+        (F.coalesce(F.min("ref_value") != F.max("ref_value"), F.lit(False))
+         | F.count("ref_value").between(1, F.count(F.lit(1)) - 1)).alias("__several"))
     itself = F.concat(F.lit("$("), "ref_group", F.lit(":"), "ref_id", F.lit(")"))
     loops = F.when(F.contains("ref_value", itself), TOO_MANY)
     tables = RoundTables(refs.sparkSession, "refs")
     now, _ = tables.write(refs.select(
         *_KEY, "ref_value", F.lit(0).cast("bigint").alias("used"),
-        F.when(F.col("ref_value").isNull(), NULL_RESULT).otherwise(loops).alias("error")))
+        F.when(F.col("__several"), AMBIGUOUS).when(F.col("ref_value").isNull(), NULL_RESULT)
+        .otherwise(loops).alias("error")))
     is_open = F.coalesce(F.col("error").isNull() & F.col("ref_value").rlike(REFERENCE),
                          F.lit(False))
     settled, n_settled, bytes_settled = None, 0, 0
@@ -137,7 +144,8 @@ def resolve_refs(
     """``(key, text with all references replaced)`` and ``(key, error)``.
 
     ``key`` identifies a row. ``functions`` are groups whose values are computed from the id
-    rather than looked up; their results are taken as they are. Errors: unknown group or id, a null value, and recursion or 255
+    rather than looked up; their results are taken as they are. Errors:
+    unknown group or id, a key with several values, a null value, and recursion or 255
     substitutions in one text. Results are text; a reference that would only come into being
     by joining a value with its neighbours is not replaced.
     """
@@ -148,7 +156,7 @@ def resolve_refs(
     groups = refs.select(F.concat(F.lit(_UNMET), "ref_group").alias("error"),
                          F.lit(True).alias("known")).distinct()
     failed = lookup_join(done.where(F.col("error").isNotNull()).select(*key, "error"), groups,
-                         ["error"], "left", key)
+                         ["error"], "left")
     unmet = F.col("error").startswith(_UNMET)
     return resolved, failed.select(
         *key, F.when(~unmet, F.col("error")).when(F.col("known"), UNKNOWN_ID)

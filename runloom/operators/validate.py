@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.functions.fixed_values import EVENT_KEYS, TASK_LABELS
-from runloom.plans.joins import HOT_ROWS, lookup_join
+from runloom.plans.joins import lookup_join
 from runloom.schema import ARRAY, PROC, STANDALONE
 
 UNKNOWN_PROCESS = "unknown process"
@@ -48,7 +48,7 @@ def _missing_key(keys: Sequence[str]) -> Column:
 
 
 def tag_events(
-    events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
+    events: DataFrame, processes: DataFrame, fits: bool | None = None
 ) -> DataFrame:
     """Events with a ``reason`` column: null when the event may be stored.
 
@@ -58,7 +58,7 @@ def tag_events(
     """
     owners = processes.select(
         *PROC, F.col("kin").alias("__kin"), F.col("n_jobs").alias("__n_jobs"))
-    joined = lookup_join(events, owners, PROC, "left", fits=fits, hot_rows=hot_rows)
+    joined = lookup_join(events, owners, PROC, "left", fits)
     index, kin = F.col("array_index"), F.col("__kin")
     reason = F.coalesce(
         _missing_key(EVENT_KEYS),
@@ -71,10 +71,10 @@ def tag_events(
 
 
 def validate_events(
-    events: DataFrame, processes: DataFrame, hot_rows: int = HOT_ROWS, fits: bool | None = None
+    events: DataFrame, processes: DataFrame, fits: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(accepted with defaults filled, rejected with reason)``."""
-    accepted, rejected = split_by_reason(tag_events(events, processes, hot_rows, fits))
+    accepted, rejected = split_by_reason(tag_events(events, processes, fits))
     return event_defaults(accepted), rejected
 
 

@@ -1,4 +1,11 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins with lookup tables whose size is checked before they are broadcast.
+
+Keys that hold a large share of the rows need no treatment of their own: adaptive execution
+splits the partitions of a shuffle join that turn out to be skewed, null keys included, and
+repeats the other side. ``session.DEFAULTS`` turns that on. It can do so only when nothing
+stands between the shuffles and the join, so a side that comes out of an aggregate on the join
+keys is written first.
+"""
 
 from __future__ import annotations
 
@@ -9,121 +16,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key with at least this many rows on the big side is spread over several tasks.
-HOT_ROWS = 1_000_000
-# Upper bound on the broadcast list of hot keys; the keys after the first MAX_HOT
-# hold less than 1/MAX_HOT of the rows each and need no spreading.
-MAX_HOT = 50_000
+from runloom.plans.rounds import RoundTables
+
 # A lookup side is broadcast only when it was measured to be within both bounds.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-_NULL_SALTS = 997
-
-
-def _all_set(on: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
-
-
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``(*on, __salts)`` for the keys with ``hot_rows`` rows or more, at most MAX_HOT of them.
-
-    Rows are counted with map-side combine. The limit decides only which keys get salted,
-    never which rows are joined.
-    """
-    return (
-        df.where(_all_set(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") >= hot_rows)
-        .orderBy(F.col("__n").desc(), *on).limit(MAX_HOT)
-        .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
-    )
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    salt_by: Sequence[str] | None = None,
-    hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    left_rows: int | None = None,
-) -> DataFrame:
-    """Equi-join whose hot left keys are split over several tasks.
-
-    ``how`` is inner, left, left_semi or left_anti. Left rows of a hot key get a salt from
-    ``salt_by`` (default: all columns); the matching right rows are repeated once per salt,
-    so the result equals the plain join. Left rows with a null key match nothing and are
-    spread too. ``hot`` replaces the counted list when the caller knows the sizes already.
-    With ``left_rows`` below ``hot_rows`` no key can be hot, and the plain join is used.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"unsupported join type: {how}")
-    on = list(on)
-    if left_rows is not None and left_rows < hot_rows:
-        return left.join(right, on, how)
-    hot = hot_keys(left, on, hot_rows) if hot is None else hot
-    plain = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
-    spread = F.xxhash64(*[F.col(c) for c in (salt_by or plain)])
-    salt = (
-        F.when(~_all_set(on), F.pmod(spread, F.lit(_NULL_SALTS)))
-        .otherwise(F.coalesce(F.pmod(spread, F.col("__salts")), F.lit(0)))
-        .cast("int")
-    )
-    salted_left = (
-        left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
-    )
-    salted_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
-        .drop("__salts")
-    )
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
-
-
-def salted_inner_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    left_rows: int | None = None,
-    right_rows: int | None = None,
-) -> DataFrame:
-    """Inner equi-join of two sides that may both have hot keys.
-
-    A key that is hot on one side is split there and repeated on the other; one that is hot on
-    both is cut into a grid of pieces. Every pair meets in exactly one piece. A side known to
-    have fewer than ``hot_rows`` rows is not examined.
-    """
-    on = list(on)
-    sides = {"__l": (left, left_rows), "__r": (right, right_rows)}
-    cut = {
-        salt: F.broadcast(hot_keys(df, on, hot_rows).withColumnRenamed("__salts", f"{salt}n"))
-        for salt, (df, rows) in sides.items() if rows is None or rows >= hot_rows
-    }
-    salted = []
-    for own, (df, _) in sides.items():
-        spread = F.xxhash64(*[F.col(c) for c in df.columns])
-        for salt, hot in cut.items():
-            pieces = F.coalesce(f"{salt}n", F.lit(1))
-            df = df.join(hot, on, "left").withColumn(
-                salt, F.pmod(spread, pieces).cast("int") if salt == own
-                else F.explode(F.sequence(F.lit(0), pieces - 1))).drop(f"{salt}n")
-        salted.append(df)
-    return salted[0].join(salted[1], [*on, *cut], "inner").drop(*cut)
 
 
 def volume(df: DataFrame) -> Column:
     """Approximate bytes of a row, for measuring a lookup side."""
-    widths = [
-        F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-        if isinstance(f.dataType, T.StringType) else F.lit(8)
-        for f in df.schema.fields
-    ]
+
+    def width(field: T.StructField) -> Column:
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(F.col(field.name))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.col(field.name).cast("string"))
+        else:
+            return F.lit(8)
+        return F.coalesce(size, F.lit(0)) + 8
+
+    widths = [width(f) for f in df.schema.fields] or [F.lit(0)]
     return reduce(lambda a, b: a + b, widths).cast("bigint")
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup side: true when both its row count and its text volume are small."""
+    """Measure a lookup side: true when both its row count and its volume are small."""
     found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(volume(df)).alias("b")).first()
     return found["n"] <= rows and (found["b"] or 0) <= size
 
@@ -133,15 +51,21 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salt_by: Sequence[str] | None = None,
     fits: bool | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join with a lookup table: broadcast when measured to fit, else the salted shuffle join.
+    """Join with a lookup table: broadcast when measured to fit, else a shuffle join.
 
     The broadcast saves the shuffle of the big side. ``fits`` is the outcome of an earlier
-    measurement.
+    measurement; a stream measures once and passes it on.
     """
     if fits_broadcast(right) if fits is None else fits:
         return left.join(F.broadcast(right), list(on), how)
-    return salted_join(left, right, on, how, salt_by, hot_rows=hot_rows)
+    return split_join(left, right, on, how)
+
+
+def split_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Shuffle join whose hot keys can be split: ``right`` is written to the shared folder."""
+    written, _ = RoundTables(left.sparkSession, "side").write(right)
+    return left.join(written, list(on), how)

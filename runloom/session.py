@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Splitting a skewed join is worth a further shuffle for what is grouped after it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,25 +29,19 @@ def build_session(app: str = "runloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="runloom-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and per-round tables.
+    """Shared folder for checkpoints and per-round tables, named in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder: on a cluster, executors could not see it.
+    A session without that setting uses a folder in its warehouse, which all executors share
+    as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return _local_root()
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/_rounds"
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runloom.plans.joins import lookup_join, salted_join
+from runloom.plans.joins import fits_broadcast, lookup_join
 from runloom.schema import ARRAY, PROC, UNIT
 from runloom.sources.store import append
 

@@ -12,16 +12,14 @@ def batch(spark):
     return incoming, tasks
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_conflicts(batch, rows, hot_rows):
-    tagged = A.tag_task_names(*batch, hot_rows=hot_rows)
+def test_conflicts(batch, rows):
+    tagged = A.tag_task_names(*batch)
     assert rows(tagged, "submission_id", "reason") == [
         (1, A.STORED), (2, None), (3, A.REPEATED), (4, A.REPEATED), (5, None)]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_rename(batch, rows, hot_rows):
-    named = A.collision_rename(*batch, hot_rows=hot_rows)
+def test_rename(batch, rows):
+    named = A.collision_rename(*batch)
     assert rows(named, "submission_id", "new_name", "status") == [
         (1, "old-1", "renamed"), (2, "new", "kept"), (3, None, "refused"),
         (4, "new-4", "renamed"), (5, "other", "kept")]

@@ -44,6 +44,16 @@ def test_grid_of_frames(spark, rows):
         G.grid_of([a, b], limit=5)
 
 
+def test_grid_of_two_large_frames(spark, rows, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_BYTES", 3_000)
+    long_ = spark.range(40).select(F.concat(F.repeat(F.lit("v"), 100), "id").alias("a"))
+    other = spark.range(30).select(F.concat(F.repeat(F.lit("w"), 200), "id").alias("b"))
+    small = spark.createDataFrame([("x",), ("x",)], "c STRING")
+    got = G.grid_of([long_, small, other])
+    assert got.columns == ["a", "c", "b"] and got.count() == 2400
+    assert got.distinct().count() == 1200
+
+
 def test_paths_of_a_template(spark, rows):
     grid = G.param_grid(spark, {}, {"itNo": [1, 2], "sfID": ["uno", "dos", "tres"]})
     found = P.render_distinct(grid, "root/iter#{itNo}/subFile.{sfID}")
@@ -177,11 +187,10 @@ def test_nested_layers(spark):
     assert O.dotted_get(deleted, "one.1").count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_dotted_get_falls_through(spark, hot_rows):
+def test_dotted_get_falls_through(spark):
     df = layers(spark, ("s", 1, "some.other", "x"))
-    assert O.dotted_get(df, "some.where", hot_rows).collect()[0].value == "here"
-    top = O.overlay_resolve(df, nested=True, hot_rows=hot_rows).collect()
+    assert O.dotted_get(df, "some.where").collect()[0].value == "here"
+    top = O.overlay_resolve(df, nested=True).collect()
     assert {r.path for r in top} == {"one", "two", "foo", "some.other"}
 
 
@@ -218,11 +227,19 @@ def test_deep_merge_equals_recursive_merge(spark):
             data += [(str(s), layer, p, v, False) for p, v in _flat(t)]
         want[str(s)] = dict(_flat(merged))
     df = spark.createDataFrame(data, LAYER)
-    for hot_rows in (5, 1_000_000):
-        got = {}
-        for r in O.overlay_deep_merge(df, hot_rows).collect():
-            got.setdefault(r.scope, {})[r.path] = r.value
-        assert got == want
+    got = {}
+    for r in O.overlay_deep_merge(df).collect():
+        got.setdefault(r.scope, {})[r.path] = r.value
+    assert got == want
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_a_key_with_live_and_deleted_leaves_counts(spark, turn):
+    data = [("s", 0, "a.x", "1", False), ("s", 1, "a.y", "2", False), ("s", 1, "a.z", None, True),
+            ("s", 0, "b", "3", False), ("s", 1, "b", None, True)][::turn]
+    df = spark.createDataFrame(data, LAYER)
+    assert [tuple(r) for r in O.overlay_key_count(df).collect()] == [("s", 1)]
+    assert [r.path for r in O.overlay_resolve(df, nested=True).collect()] == ["a.y"]
 
 
 def test_variant_select(spark, rows):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,23 +13,61 @@ def edges(spark, *pairs):
     return spark.createDataFrame([tuple(p) for p in pairs], EDGE)
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_closure(spark, rows, hot_rows):
+def reach(pairs):
+    """All pairs joined by a path."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    found = {a: set(b) for a, b in out.items()}
+    while True:
+        more = {a: b | {z for y in b for z in found.get(y, ())} for a, b in found.items()}
+        if more == found:
+            return {(a, b) for a, bs in found.items() for b in bs}
+        found = more
+
+
+def test_closure(spark, rows):
     df = edges(spark, "ab", "bc", "cd", "de", "xd", "ab")
     want = sorted((a, b) for a, b in
                   ["ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de", "xd", "xe"])
-    assert rows(G.closure(df, hot_rows=hot_rows)) == want
+    assert rows(G.closure(df)) == want
     roots = spark.createDataFrame([("d",)], "node STRING")
-    assert rows(G.closure(df, roots, hot_rows)) == [("a", "d"), ("b", "d"), ("c", "d"), ("x", "d")]
+    assert rows(G.closure(df, roots)) == [("a", "d"), ("b", "d"), ("c", "d"), ("x", "d")]
 
 
-@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
-def test_cycles(spark, rows, hot_rows):
+def test_cycles(spark, rows):
     df = edges(spark, "ab", "ba", "bc", "cc", "cd", "de", "xa")
-    assert rows(G.cycles(df, hot_rows)) == [("a", False), ("b", False), ("c", True)]
-    assert G.cycles(edges(spark, "ab", "bc", "cd"), hot_rows).count() == 0
-    assert rows(G.closure(df, hot_rows=hot_rows).where("parent = child"), "parent") == [
-        ("a",), ("b",), ("c",)]
+    assert rows(G.cycles(df)) == [("a", False), ("b", False), ("c", True)]
+    assert G.cycles(edges(spark, "ab", "bc", "cd")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_graphs(spark, rows, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range((30, 45, 90)[seed])]
+    df = spark.createDataFrame(pairs, "parent BIGINT, child BIGINT")
+    all_ = reach(pairs)
+    own = {a for a, b in pairs if a == b}
+    assert rows(G.cycles(df)) == sorted(
+        ((a, a in own) for a in range(40) if (a, a) in all_), key=lambda r: tuple(map(str, r)))
+    roots = [3, 17, 30]
+    got = G.closure(df, spark.createDataFrame([(r,) for r in roots], "node BIGINT")).collect()
+    assert sorted(map(tuple, got)) == sorted(p for p in all_ if p[1] in roots)
+    names = [(n, f"n{n % 11}" if n % 3 else f"own{n}") for n in range(40)]
+    got = G.duplicate_names(df, spark.createDataFrame(names, "node BIGINT, name STRING"))
+    name = dict(names)
+    assert sorted(map(tuple, got.collect())) == sorted(
+        (name[a], a, b) for a, b in all_ if a != b and name[a] == name[b])
+
+
+def test_long_chain_and_cycle(spark):
+    chain = spark.range(3000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    small = G.contract(chain)
+    assert len(small.rounds) < 60
+    end = spark.createDataFrame([(3000,)], "node BIGINT")
+    assert G.closure(chain, end).count() == 3000
+    ring = chain.unionAll(spark.createDataFrame([(3000, 0)], "parent BIGINT, child BIGINT"))
+    assert G.cycles(ring).count() == 3001
 
 
 def test_adjacency_and_union(spark):
@@ -38,12 +78,30 @@ def test_adjacency_and_union(spark):
     assert listed == {"a": ["b", "c"], "b": ["c"], "c": None}
 
 
-@pytest.mark.parametrize("hot_rows,fits", [(2, False), (1_000_000, False), (2, None)])
-def test_duplicate_names(spark, rows, hot_rows, fits):
+def test_adjacency_in_parts(spark):
+    pairs = [("a", f"s{i:02}") for i in range(12)] * 2
+    nodes = spark.createDataFrame([("a",)], "node STRING")
+    df = spark.createDataFrame(pairs, EDGE)
+    got = {r.part: r.successors for r in G.dag_adjacency(df, nodes, max_items=5).collect()}
+    assert got == {0: [f"s{i:02}" for i in range(5)], 1: [f"s{i:02}" for i in range(5, 10)],
+                   2: ["s10", "s11"]}
+
+
+def test_duplicate_names(spark, rows):
     nodes = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("c", "n1"), ("d", "n2")],
                                   "node STRING, name STRING")
-    pairs = G.closure(edges(spark, "ab", "bc", "ad"))
-    assert rows(G.duplicate_names(pairs, nodes, hot_rows, fits)) == [("n1", "a", "c")]
+    assert rows(G.duplicate_names(edges(spark, "ab", "bc", "ad"), nodes)) == [("n1", "a", "c")]
+
+
+def test_keys_with_several_values(spark, rows):
+    refs = spark.createDataFrame(
+        [("G", "x", "one"), ("G", "x", "two"), ("G", "y", "same"), ("G", "y", "same"),
+         ("G", "z", "v"), ("G", "z", None)], "ref_group STRING, ref_id STRING, ref_value STRING")
+    texts = spark.createDataFrame(
+        [(1, "a $(G:x) b"), (2, "$(G:y)$(G:y)"), (3, "$(G:z)")], "id INT, text STRING")
+    good, bad = R.resolve_refs(texts, ["id"], "text", refs)
+    assert rows(good) == [(2, "samesame")]
+    assert rows(bad) == [(1, R.AMBIGUOUS), (3, R.AMBIGUOUS)]
 
 
 REFS = [("SMPL", "1", "one"), ("SMPL", "two", "2"), ("SMPL", "null", ""), ("SMPL", "", "nothing"),

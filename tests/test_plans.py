@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from runloom import schema
+from runloom import catalog, schema
 from runloom.operators import monitor as M
 from runloom.operators.contents import content_dedup
 from runloom.sources import store
@@ -22,7 +22,7 @@ def plan(df) -> str:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in contract.queries() if not k.startswith("stream_")))
+@pytest.mark.parametrize("key", sorted(k for k in catalog.QUERIES if not k.startswith("stream_")))
 def test_no_query_multiplies_rows_in_a_join(spark, key):
     text = plan(contract.queries()[key](spark, SF))
     assert "CartesianProduct" not in text
