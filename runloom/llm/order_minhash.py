@@ -272,7 +272,6 @@ class _Candidates:
     """Texts in buckets of equal sketches."""
 
     def __init__(self, documents: DataFrame, nodes: DataFrame):
-        self.documents = documents
         self.kind = nodes.schema["node"].dataType.simpleString()
         rows = nodes.select("node", "n", F.explode("keys").alias("key"))
         # A few different orders choose the leaders, so that a text meets several of them.
@@ -280,18 +279,19 @@ class _Candidates:
         lead = rows.groupBy("key").agg(
             F.min(F.struct(rank.alias("rank"), "node", "n")).alias("lead"),
             F.count(F.lit(1)).alias("members")).where("members > 1")
+        lead = stored(lead.select("key", F.col("lead.node").alias("lead"),
+                                  F.col("lead.n").alias("lead_n")), "leaders")
         #: Members of buckets with two texts or more, each with the leader of its bucket.
-        self.members = stored(
-            rows.join(lead.select("key", "lead.node", "lead.n", "members").toDF(
-                "key", "lead", "lead_n", "members"), "key"), "buckets")
+        self.members = stored(rows.join(lead, "key"), "buckets")
 
-    def _texts(self, wanted: DataFrame) -> DataFrame:
-        """Compressed text of the wanted nodes; of rows that repeat an id one is taken."""
-        packed = _lowered(self.documents).where("doc_id is not null and text is not null").select(
+        #: Their compressed texts; of rows that repeat an id one is taken. Texts are moved
+        #: here once, by a plan that is the same at every size.
+        packed = _lowered(documents).where("doc_id is not null and text is not null").select(
             F.col("doc_id").alias("node"), "text").mapInArrow(
             _pack, f"node {self.kind}, packed binary")
-        return stored(packed.join(wanted.distinct(), "node", "left_semi"), "texts"
-                      ).dropDuplicates(["node"])
+        wanted = self.members.select("node").distinct().hint("merge")
+        self.texts = stored(
+            packed.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     def stars(self) -> DataFrame:
         """Links of the members of each bucket with its leader."""
@@ -299,9 +299,8 @@ class _Candidates:
         pairs = stored(self.members.where((F.col("node") != F.col("lead")) & near).select(
             F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(),
             "pairs")
-        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        left = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
-        right = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
+        left = self.texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
+        right = self.texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
         return stored(
             pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
             .mapInArrow(_verify, f"a {self.kind}, b {self.kind}"), "near-links")
@@ -321,9 +320,9 @@ class _Candidates:
                 "key", "node", "n", F.coalesce("own", "node").alias("own"),
                 (F.coalesce("own", "node") != F.coalesce("of_lead", "lead")).alias("open")),
             "labelled")
-        sizes = members.groupBy("key").agg(
+        sizes = stored(members.groupBy("key").agg(
             F.ceil(F.count_if("open") / PART).alias("ps"), F.ceil(F.count(F.lit(1)) / PART)
-            .alias("qs")).where("ps > 0")
+            .alias("qs")).where("ps > 0"), "open-sizes")
         sized = stored(members.join(sizes, "key"), "open-buckets")
         if sized.isEmpty():
             return None
@@ -340,8 +339,7 @@ class _Candidates:
             *columns, F.lit(1).alias("side"), F.pmod(part, F.col("qs")).alias("j"),
             every("ps").alias("i"))
         placed = asks.unionByName(answers)
-        texts = self._texts(sized.select("node"))
-        grouped = placed.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions(
+        grouped = placed.join(self.texts, "node").repartition("key", "i", "j").sortWithinPartitions(
             "key", "i", "j")
         return stored(grouped.mapInArrow(_settle_parts, f"a {self.kind}, b {self.kind}"),
                       "near-links")
