@@ -313,14 +313,17 @@ def repeated_spans(
     sampled = stored(texts.mapInArrow(_sample(length), T.StructType(
         [*place, T.StructField("start", T.LongType()), T.StructField("context", T.LongType())])),
         "anchors")
-    twice = sampled.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written sides let adaptive execution split a start that very many positions share.
+    twice = stored(sampled.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+                   "repeated-starts")
     shared = stored(sampled.join(twice.select("start"), "start", "left_semi"), "shared-anchors")
     contexts = shared.groupBy("start", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "pos")).alias("first"))
     contexts = stored(contexts, "contexts")
     asks = F.lit(True) if keep_first else F.col("n") == 1
-    groups = contexts.groupBy("start").agg(
-        F.count(F.lit(1)).alias("m"), F.max(asks).alias("asks")).where("m > 1 and asks")
+    groups = stored(contexts.groupBy("start").agg(
+        F.count(F.lit(1)).alias("m"), F.max(asks).alias("asks")).where("m > 1 and asks"),
+        "open-starts")
     wanted = (
         contexts.join(groups.select("start", (F.col("m") > ORDERED).alias("hot")), "start")
         .groupBy("first.doc_id", "first.version")
