@@ -225,9 +225,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, members: int = MEMB
     decoded = stored(nodes.mapInArrow(_filters(size, blocks), T.StructType(
         [*kind.fields, T.StructField("filters", T.ArrayType(T.LongType()))])), "caps")
     passed = decoded.select("label", "h1", "h2", F.explode("filters").alias("filter"))
-    parts = passed.groupBy("label", "filter").agg(
+    parts = stored(passed.groupBy("label", "filter").agg(
         F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"),
-        F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+        F.count(F.lit(1)).alias("members")).where("members > 1").drop("members"), "cap-sizes")
     own = F.pmod(F.col("h2"), F.col("parts")).cast("int")
     placed = (
         passed.join(parts, ["label", "filter"]).withColumn("own", own)
