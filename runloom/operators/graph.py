@@ -1,8 +1,9 @@
 """Dependency graphs of submissions, as edges ``(parent, child)``: child needs parent.
 
-Long chains would take a round per edge. Nodes with one parent or one child at most are taken
-out first, half of a chain per round, by joining what is before them with what is behind them:
-that keeps who reaches whom and never adds edges. What was taken out is put back at the end.
+Graphs are followed one edge per round. Where that does not end soon, long chains are the
+cause: nodes with one parent or one child at most are then taken out, half of a chain per
+round, by joining what is before them with what is behind them. That keeps who reaches whom
+and never adds edges. What was taken out is put back at the end.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from runloom.plans.rounds import RoundTables
 
 # Taking nodes out goes on while a round removes at least this share of the edges.
 _SHARE = 0.1
+# Rounds of one edge each before a graph is contracted.
+SHALLOW = 24
 
 
 def edge_union(*edges: DataFrame) -> DataFrame:
@@ -102,9 +105,9 @@ def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
 def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """All ``(parent, child)`` pairs joined by a path, in a graph that may have cycles.
 
-    With ``roots`` (column ``node``) only pairs whose child is a root: the graph is contracted
-    around the roots, followed backwards from them one edge per round, and the nodes taken out
-    get the roots of what is behind them. Without ``roots`` the answer is quadratic by its
+    With ``roots`` (column ``node``) only pairs whose child is a root, followed backwards from
+    the roots; in a deep graph that is contracted around the roots, the nodes taken out get
+    the roots of what is behind them. Without ``roots`` the answer is quadratic by its
     nature; the reach doubles every round. Every round is written to the shared folder.
     """
     if roots is not None:
@@ -120,16 +123,28 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return tables.all(base)
 
 
-def _closure_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    small = contract(edges, roots)
+def _backwards(
+    edges: DataFrame, roots: DataFrame, most: int | None = None
+) -> tuple[RoundTables, DataFrame, bool]:
+    """Pairs that end in a root, as tables of rounds; whether all were found in ``most``."""
     tables = RoundTables(edges.sparkSession, "closure")
     wanted = roots.withColumnRenamed("node", "child")
-    new, n = tables.write(small.core.join(wanted, "child", "left_semi").select("parent", "child"))
-    while n:
-        found = small.core.withColumnRenamed("child", "via").join(
+    new, n = tables.write(edges.join(wanted, "child", "left_semi").select("parent", "child")
+                          .distinct())
+    while n and (most is None or len(tables.paths) < most):
+        found = edges.withColumnRenamed("child", "via").join(
             new.withColumnRenamed("parent", "via"), "via").select("parent", "child")
         new, n = tables.write(
             found.distinct().join(tables.all(found), ["parent", "child"], "left_anti"))
+    return tables, new, not n
+
+
+def _closure_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    tables, new, done = _backwards(edges, roots, SHALLOW)
+    if done:
+        return tables.all(new)
+    small = contract(edges, roots)
+    tables, new, _ = _backwards(small.core, roots)
     for ways in reversed(small.rounds):
         pairs = tables.all(new)
         behind = ways.where("behind is not null").select("node", "behind").distinct()
@@ -142,28 +157,37 @@ def _closure_of(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return tables.all(new)
 
 
+def _names_ahead(core: DataFrame, named: DataFrame, most: int | None = None) -> DataFrame | None:
+    """``(node, name)``: a node of that name depends on this one; null beyond ``most`` rounds."""
+    tables = RoundTables(core.sparkSession, "names-ahead")
+    new, n = tables.write(core.join(named.withColumnRenamed("node", "child"), "child").select(
+        F.col("parent").alias("node"), "name").distinct())
+    while n:
+        if most is not None and len(tables.paths) >= most:
+            return None
+        found = core.join(new.withColumnRenamed("node", "child"), "child").select(
+            F.col("parent").alias("node"), "name").distinct()
+        new, n = tables.write(found.join(tables.all(found), ["node", "name"], "left_anti"))
+    return tables.all(new)
+
+
 def duplicate_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names borne by two different jobs of which one depends on the other: an error.
 
-    ``nodes`` has ``node, name``. Only nodes that share their name matter: the graph is
-    contracted around them, each carries its name to what depends on it, as long as a node of
-    that name is still ahead. One row ``name, parent, child`` per offending pair.
+    ``nodes`` has ``node, name``. Only nodes that share their name matter: each carries its
+    name to what depends on it, as long as a node of that name is still ahead. A deep graph is
+    contracted around them. One row ``name, parent, child`` per offending pair.
     """
     spark = edges.sparkSession
     named = nodes.select("node", "name").distinct()
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     risky, _ = RoundTables(spark, "shared-names").write(
         named.join(shared.select("name"), "name", "left_semi").select("node", "name"))
-    core = contract(edges, risky.select("node").distinct()).core
-    # (node, name): a node of that name depends on this one.
-    ahead = RoundTables(spark, "names-ahead")
-    new, n = ahead.write(core.join(risky.withColumnRenamed("node", "child"), "child").select(
-        F.col("parent").alias("node"), "name").distinct())
-    while n:
-        found = core.join(new.withColumnRenamed("node", "child"), "child").select(
-            F.col("parent").alias("node"), "name").distinct()
-        new, n = ahead.write(found.join(ahead.all(found), ["node", "name"], "left_anti"))
-    ahead_all = ahead.all(new)
+    core = edges.select("parent", "child").distinct()
+    ahead_all = _names_ahead(core, risky, SHALLOW)
+    if ahead_all is None:
+        core = contract(core, risky.select("node").distinct()).core
+        ahead_all = _names_ahead(core, risky)
     carried = RoundTables(spark, "names-carried")
     start = risky.join(ahead_all, ["node", "name"], "left_semi")
     new, n = carried.write(start.select(F.col("node").alias("origin"), "node", "name"))
@@ -196,9 +220,11 @@ def _peel(core: DataFrame) -> DataFrame:
     return core.select("parent", "child")
 
 
-def _mutual(core: DataFrame) -> list[DataFrame]:
+def _mutual(core: DataFrame, most: int | None = None) -> list[DataFrame] | None:
     """``(node, label)`` of the nodes on cycles: nodes of one label reach each other.
 
+    Null when a label takes more than ``most`` rounds to spread.
+
     Labels spread forward, the smallest wins; the nodes that reach the node named by their
     label, among those of the same label, are mutually reachable with it. They are taken out
     with all edges between labels, which lie on no cycle, and the rest goes on.
@@ -216,8 +242,12 @@ def _mutual(core: DataFrame) -> list[DataFrame]:
             break
         label, _ = tables.write(core.select(F.explode(F.array("parent", "child")).alias("node"))
                                 .distinct().withColumn("label", F.col("node")))
-        changed = 1
+        changed, left = 1, most
         while changed:
+            if left is not None:
+                if not left:
+                    return None
+                left -= 1
             spread = core.join(label.withColumnRenamed("node", "parent"), "parent").groupBy(
                 F.col("child").alias("node")).agg(F.min("label").alias("seen"))
             label, _ = tables.write(label.drop("moved").join(spread, "node", "left").select(
@@ -251,15 +281,21 @@ def _mutual(core: DataFrame) -> list[DataFrame]:
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes that depend on themselves; ``direct`` tells the self-edges.
 
-    The graph is contracted, the nodes left are parted into sets that reach each other, and a
-    node taken out belongs to the set that both a node before and one behind it belong to.
+    The nodes are parted into sets that reach each other. In a graph that is contracted for
+    that, a node taken out belongs to the set that both a node before and one behind it belong
+    to.
     """
-    small = contract(edges)
+    core = edges.select("parent", "child").distinct()
+    rounds: list[DataFrame] = []
+    sets = _mutual(core, SHALLOW)
+    if sets is None:
+        small = contract(core)
+        sets, rounds = _mutual(small.core), small.rounds
     tables = RoundTables(edges.sparkSession, "on-cycles")
-    kind = small.core.schema["parent"].dataType.simpleString()
+    kind = core.schema["parent"].dataType.simpleString()
     nothing = edges.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
-    labels, _ = tables.write(reduce(DataFrame.unionByName, _mutual(small.core), nothing))
-    for ways in reversed(small.rounds):
+    labels, _ = tables.write(reduce(DataFrame.unionByName, sets, nothing))
+    for ways in reversed(rounds):
         known = tables.all(labels)
         between = (
             ways.join(known.select(F.col("node").alias("before"), "label"), "before")
