@@ -177,7 +177,8 @@ def job_state_flags(t: Tables) -> DataFrame:
     FROM v_process""")
 def src_monitoring(t: Tables) -> DataFrame:
     path = scratch_dir(t.spark, "store")
-    store.write_store(t.store, path)
+    for _ in range(2):  # the second write repeats the batch, as a retried job would
+        store.write_store(t.store, path, batch_id=0)
     back = store.read_store(t.spark, path)
     return M.process_view(back.processes, back.events).select(
         "task_id", "process", "type", "progress", "last_event_class")

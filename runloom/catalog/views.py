@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators.monitor import Store
+from runloom.session import scratch_dir
 
 GIVEN = {
     "region": "r_regionkey INT, r_name STRING",
@@ -118,12 +119,11 @@ class Tables:
         return Store(self.tasks, self.task_tags, self.processes, self.events)
 
     def event_stream(self) -> DataFrame:
-        """The given events as a stream of the files of their table.
-
-        A glob, since the table may be one file or a folder of files.
-        """
-        return self.spark.readStream.schema(GIVEN["events"]).parquet(
-            f"{self.sf_dir}/events[.]parquet")
+        """The given events as a stream of at least three files, one file to a micro-batch."""
+        path = scratch_dir(self.spark, "event-files")
+        self.given("events").repartition(3).write.parquet(path)
+        return self.spark.readStream.schema(GIVEN["events"]).option(
+            "maxFilesPerTrigger", 1).parquet(path)
 
     @cached_property
     def wire(self) -> DataFrame:

@@ -55,10 +55,30 @@ def append(
          .partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}"))
 
 
-def write_store(store: Store, path: str) -> None:
-    """Append a store. A task becomes visible last, after everything it owns."""
+def read_batches(spark: SparkSession, path: str, batches: Sequence[int], schema: str) -> DataFrame:
+    """Rows of the named batches; no other folder is listed."""
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(
+        *[f"{path}/batch={b}" for b in batches])
+
+
+def drop_batches(spark: SparkSession, path: str, batches: Sequence[int]) -> None:
+    """Remove the folders of batches that nobody reads any more; missing ones are no error."""
+    jvm = spark.sparkContext._jvm
+    for b in batches:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={b}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_store(store: Store, path: str, batch_id: int | None = None) -> None:
+    """Append a store. A task becomes visible last, after everything it owns.
+
+    With ``batch_id`` a repeated write of the same batch changes nothing.
+    """
     for name in ("events", "processes", "task_tags", "tasks"):
         columns = SCHEMAS[name]
         df = getattr(store, name)
         have = [f for f in columns.fields if f.name in df.columns]
-        append(df.select(*[df[f.name].cast(f.dataType) for f in have]), f"{path}/{name}")
+        append(df.select(*[df[f.name].cast(f.dataType) for f in have]), f"{path}/{name}",
+               batch_id=batch_id)

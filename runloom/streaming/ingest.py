@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runloom.operators.validate import event_defaults, split_by_reason, tag_events
+from runloom.plans.joins import fits_broadcast
 from runloom.schema import EVENT_RECORD
 from runloom.sources.records import tag_records
 from runloom.sources.store import append
@@ -28,21 +30,24 @@ def stream_ingest(
 
     Each micro-batch is parsed, checked against the process table and written under its
     batch id, so a replayed batch overwrites its own rows and nothing is stored twice. The
-    checks of a batch are a plain join, with hot processes salted.
+    process table is measured once, when the stream starts; a batch reads and joins it once.
     """
+    fits = fits_broadcast(processes)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        # Parsed once, used for both outputs.
-        records = tag_records(batch, schema).persist()
+        records = tag_records(batch, schema).withColumnRenamed("reason", "__broken")
+        # Parsed and joined once, used for both outputs.
+        tagged = tag_events(records, processes, fits).persist()
         try:
-            readable = records.where("reason IS NULL").drop("raw", "reason")
-            accepted, rejected = split_by_reason(tag_events(readable, processes))
+            readable = tagged.where("__broken IS NULL").drop("raw", "__broken")
+            accepted, rejected = split_by_reason(readable)
             append(event_defaults(accepted), f"{out}/events", batch_id=batch_id)
-            broken = records.where("reason IS NOT NULL").select("raw", "reason")
+            broken = tagged.where("__broken IS NOT NULL").select(
+                "raw", F.col("__broken").alias("reason"))
             append(rejected.unionByName(broken, allowMissingColumns=True),
                    f"{out}/rejected", batch_id=batch_id)
         finally:
-            records.unpersist()
+            tagged.unpersist()
 
     return (
         lines.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)

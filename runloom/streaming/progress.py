@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runloom.plans.joins import fits_broadcast, lookup_join
 from runloom.schema import ARRAY, PROC, UNIT
-from runloom.sources.store import append
+from runloom.sources.store import append, drop_batches, read_batches
 
 
 def _unit_updates(events: DataFrame) -> DataFrame:
@@ -67,41 +67,41 @@ def stream_quench(
     """Tell, once per process, that its progress has reached the threshold.
 
     Only processes with a threshold are followed. ``out/units`` logs the greatest progress per
-    unit in buckets by process, ``out/snapshot`` holds the whole state after every
-    ``snapshot_every`` batches, ``out/quench`` the answers. A batch reads back the buckets it
-    touches, from the latest snapshot and the batches since, so its cost is bound by the number
-    of units and not by the length of the log. Replayed batches repeat the same writes.
+    unit in buckets by process, ``out/quench`` the answers. After every ``snapshot_every``
+    batches ``out/snapshot`` holds the whole state and ``out/told`` all answers so far. A batch
+    reads back the buckets it touches, from the latest snapshot and the batches since, and
+    lists no other folder; logs and snapshots older than the one before are removed. So the
+    cost of a batch is bound by the number of units and not by the length of the log. Replayed
+    batches repeat the same writes. The process table is measured once.
     """
     spark = events.sparkSession
     watched = processes.where(F.col("threshold_progress").isNotNull()).select(
         *PROC, "kin", "threshold_progress")
+    fits = fits_broadcast(watched.select(*PROC))
     bucket = F.pmod(F.hash(*PROC), F.lit(buckets)).alias("bucket")
     top = F.max(F.coalesce("progress", F.lit(0))).alias("top")
 
     def follow(batch: DataFrame, batch_id: int) -> None:
         # Combined per unit first, so that the join meets one row per unit.
         tops = batch.groupBy(*UNIT).agg(top)
-        rows = lookup_join(tops, watched.select(*PROC), PROC, "left_semi", ["array_index"])
+        rows = lookup_join(tops, watched.select(*PROC), PROC, "left_semi", fits)
         append(rows.withColumn("bucket", bucket), f"{out}/units", ["bucket"], batch_id)
         unit_log = f"{_ddl(tops, tops.columns)}, batch BIGINT, bucket INT"
+        told_log = f"{_ddl(watched, PROC)}, batch BIGINT"
 
         base = batch_id // snapshot_every * snapshot_every - 1
-        log = spark.read.schema(unit_log).parquet(f"{out}/units")
-        units = log.where(F.col("batch").between(base + 1, batch_id))
-        if base >= 0:
-            snapshot = spark.read.schema(unit_log).parquet(f"{out}/snapshot")
-            units = units.unionByName(snapshot.where(F.col("batch") == base))
-        if batch_id % snapshot_every == snapshot_every - 1:
-            whole = units.groupBy("bucket", *UNIT).agg(F.max("top").alias("top"))
-            append(whole, f"{out}/snapshot", ["bucket"], batch_id)
+        before = [base] if base >= 0 else []
+        units = read_batches(spark, f"{out}/units", range(base + 1, batch_id + 1), unit_log)
+        units = units.unionByName(read_batches(spark, f"{out}/snapshot", before, unit_log))
+        told = read_batches(spark, f"{out}/quench", range(base + 1, batch_id), told_log)
+        told = told.unionByName(read_batches(spark, f"{out}/told", before, told_log))
 
-        mine = log.where(F.col("batch") == batch_id)
+        mine = read_batches(spark, f"{out}/units", [batch_id], unit_log)
         # At most ``buckets`` numbers: they prune the folders that are read.
         seen = [r.bucket for r in mine.select("bucket").distinct().collect()]
         touched = mine.select(*PROC).distinct()
         now = (
-            salted_join(units.where(F.col("bucket").isin(seen)), touched, PROC, "left_semi",
-                        ["array_index", "batch"])
+            units.where(F.col("bucket").isin(seen)).join(touched, list(PROC), "left_semi")
             .groupBy(*UNIT).agg(F.max("top").alias("top"))
             .groupBy(*PROC).agg(F.max("top").alias("most"), F.sum("top").alias("total"))
             .join(watched, list(PROC))
@@ -109,12 +109,18 @@ def stream_quench(
                         .otherwise(F.col("most").cast("bigint")))
             .where(F.col("progress") >= F.col("threshold_progress"))
             .select(*PROC, "threshold_progress", "progress")
+            .join(told.select(*PROC), list(PROC), "left_anti")
         )
-        if batch_id > 0:
-            told = spark.read.schema(f"{_ddl(now, PROC)}, batch BIGINT").parquet(f"{out}/quench")
-            now = now.join(told.where(F.col("batch") < batch_id).select(*PROC), list(PROC),
-                           "left_anti")
         append(now, f"{out}/quench", batch_id=batch_id)
+        if batch_id % snapshot_every == snapshot_every - 1:
+            whole = units.groupBy("bucket", *UNIT).agg(F.max("top").alias("top"))
+            append(whole, f"{out}/snapshot", ["bucket"], batch_id)
+            here = read_batches(spark, f"{out}/quench", [batch_id], told_log)
+            append(told.unionByName(here).select(*PROC), f"{out}/told", batch_id=batch_id)
+            # A replay of this batch still finds the snapshot before and the log since.
+            drop_batches(spark, f"{out}/units", range(base - snapshot_every + 1, base + 1))
+            for name in ("snapshot", "told"):
+                drop_batches(spark, f"{out}/{name}", [base - snapshot_every])
 
     return (
         events.writeStream.foreachBatch(follow).option("checkpointLocation", checkpoint)

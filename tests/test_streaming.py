@@ -106,3 +106,23 @@ def test_quench(spark, store, processes, tmp_path, rows, every):
     assert rows(told, "task_id", "process") == rows(want, "task_id", "process") == [
         ("t", "arr"), ("t", "solo")]
     assert told.where(F.col("progress") < F.col("threshold_progress")).count() == 0
+
+
+def test_quench_lists_few_folders(spark, processes, tmp_path):
+    """Many batches: what is kept and read does not grow with their number."""
+    source = tmp_path / "in"
+    for i in range(12):
+        spark.createDataFrame([(i, "t", "solo", None, "BEAT", 5 * i)],
+                              "event_id INT, task_id STRING, process STRING, array_index INT, "
+                              "event_class STRING, progress INT").coalesce(1).write.mode(
+            "append").parquet(str(source))
+    shape = spark.read.parquet(str(source)).schema
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(source))
+    out = str(tmp_path / "out")
+    progress.stream_quench(stream, processes, out, f"{out}/checkpoint", buckets=2,
+                           snapshot_every=3, availableNow=True).awaitTermination()
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out/units").glob("batch=*"))
+    assert kept[0] >= 6 and kept[-1] == 11
+    assert len(list((tmp_path / "out/snapshot").glob("batch=*"))) <= 2
+    told = spark.read.parquet(f"{out}/quench")
+    assert [(r.task_id, r.process) for r in told.collect()] == [("t", "solo")]
