@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 ORDER = 3
 # Whole texts per language that statistics are learned from, and contexts kept per order.
 DOCS_PER_LANG = 400
-CONTEXTS = 12_000
+CONTEXTS = 4_000
 # Bytes that are scored at once.
 CHUNK = 1 << 20
 
@@ -98,7 +97,8 @@ class Coder:
         nodes[0] = np.zeros(1, np.int64)
         base = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
         self.bits = np.zeros((int(base[-1]), 256, width), np.float32)
-        self.node = np.zeros(1 << (8 * ORDER), np.int32)
+        small = int(base[-1]) < 1 << 16
+        self.node = np.zeros(1 << (8 * ORDER), np.uint16 if small else np.int32)
         for depth in range(ORDER + 1):
             lang, gram, n = counts[depth]
             rows = base[depth] + np.searchsorted(nodes[depth], gram >> 8)
@@ -146,7 +146,7 @@ class Coder:
         """Point every full context that ends in one of these at its node (deeper ones win)."""
         table = self.node.reshape(-1, 1 << (8 * depth)) if depth else self.node.reshape(-1, 1)
         if depth:
-            table[:, contexts] = base + np.arange(len(contexts), dtype=np.int32)
+            table[:, contexts] = (base + np.arange(len(contexts))).astype(table.dtype)
         else:
             table[:] = 0
 
@@ -187,11 +187,17 @@ class Coder:
             out[row] += value
 
 
-@lru_cache(maxsize=1)
+_built: dict[tuple, Coder] = {}
+
+
 def _coder(key: tuple) -> Coder:
-    langs, packed = key
-    return Coder(list(langs), [tuple(np.frombuffer(x, np.int64) for x in level)
-                               for level in packed])
+    """The coder of a model, built once per process; the one before is let go first."""
+    if key not in _built:
+        _built.clear()
+        langs, packed = key
+        _built[key] = Coder(list(langs), [tuple(np.frombuffer(x, np.int64) for x in level)
+                                          for level in packed])
+    return _built[key]
 
 
 def predict(documents: DataFrame, model) -> DataFrame:

@@ -151,7 +151,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return in_common(labelled(a), labelled(b)) >= need and aligned(a, b) > 0
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=128)
 def _grams(packed: bytes) -> np.ndarray:
     return shingles(word_hashes(zstandard.decompress(packed)))
 
@@ -188,7 +188,7 @@ def fingerprint(labels: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2048)
+@lru_cache(maxsize=512)
 def _profile(packed: bytes) -> tuple[np.ndarray, frozenset[int], np.ndarray]:
     """Fingerprint, sketches and labelled shingles of a text."""
     labels = labelled(_grams(packed))

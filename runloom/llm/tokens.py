@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 
 # Words whose ids a process remembers, and characters that are split at once.
-KNOWN = 2_000_000
+KNOWN = 500_000
 BATCH = 1 << 19
 # Code points below this are split by table; texts with others go to the tokenizer whole.
 TABLE = 0x250
