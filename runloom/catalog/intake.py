@@ -106,6 +106,42 @@ def empty_task_reject(t: Tables) -> DataFrame:
     return V.empty_task_reject(named.select("task_id"), good)
 
 
+@query("task_ingest", """
+    WITH spec AS (
+        SELECT submission_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'malformed process spec'
+               WHEN '2-HIGH' THEN 'malformed process map' ELSE 'task without processes' END AS bad
+        FROM m_submissions
+        WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')),
+    checked AS (
+        SELECT n.submission_id, n.name, n.o_orderstatus, CAST(n.n AS INTEGER) AS n,
+               coalesce(n.reason, spec.bad) AS reason
+        FROM m_named n LEFT JOIN spec ON n.submission_id = spec.submission_id)
+    SELECT 'task' AS kind, submission_id, name, CAST(NULL AS VARCHAR) AS process,
+           CAST(NULL AS INTEGER) AS n_jobs, CAST(NULL AS VARCHAR) AS reason
+    FROM checked WHERE reason IS NULL
+    UNION ALL SELECT 'rejected', submission_id, name, NULL, NULL, reason
+    FROM checked WHERE reason IS NOT NULL
+    UNION ALL SELECT 'process', submission_id, NULL, CASE o_orderstatus WHEN 'F' THEN 'many'
+           WHEN 'O' THEN 'some' ELSE 'plain' END, n, NULL FROM checked WHERE reason IS NULL
+    UNION ALL SELECT 'process', submission_id, NULL, 'single', NULL, NULL
+    FROM checked WHERE reason IS NULL AND o_orderstatus = 'F'""")
+def task_ingest(t: Tables) -> DataFrame:
+    accepted, processes, rejected = A.admit_tasks(
+        t.submissions.select("submission_id", "name", "processes"), t.tasks)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def rows(df: DataFrame, kind: str, **filled) -> DataFrame:
+        columns = {"name": text, "process": text, "n_jobs": number, "reason": text} | filled
+        return df.select(F.lit(kind).alias("kind"), "submission_id",
+                         *[c.alias(n) for n, c in columns.items()])
+
+    return (
+        rows(accepted, "task", name=F.col("name"))
+        .unionByName(rows(rejected, "rejected", name=F.col("name"), reason=F.col("reason")))
+        .unionByName(rows(processes, "process", process=F.col("process"),
+                          n_jobs=F.col("n_jobs"))))
+
+
 @query("job_counts", """
     SELECT o_orderkey, (o_custkey % 4 + 1) * (o_orderkey % 3) AS implicit_jobs,
            (o_custkey % 2 + 1) * (o_custkey % 4 + 1) * (o_orderkey % 3) AS n_jobs,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runloom.operators.validate import process_spec
 from runloom.plans.joins import split_join
 
 STORED = "name is stored already"
@@ -59,3 +60,22 @@ def collision_rename(
         "new_name": F.when(F.col("reason").isNull(), F.col("name"))
         .when(F.col("__taken").isNull(), F.col("__try")),
     }).drop("__try", "__taken", "reason")
+
+
+def admit_tasks(
+    incoming: DataFrame, tasks: DataFrame, order: str = "submission_id", specs: str = "processes"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(accepted tasks, their processes, rejected tasks with reason)`` of submitted tasks.
+
+    A task is stored only whole: its name must be free, and every process it describes must
+    be readable, at least one of them. The first submission of a name asks for it, whether it
+    is stored in the end or not. Of several faults the name's comes first.
+    """
+    tagged = tag_task_names(incoming, tasks, order).withColumnRenamed("reason", "__name")
+    good, bad = process_spec(incoming, specs, [order])
+    faults = bad.groupBy(order).agg(F.min("reason").alias("__spec"))
+    checked = tagged.join(faults, order, "left").withColumn(
+        "reason", F.coalesce("__name", "__spec")).drop("__name", "__spec")
+    accepted = checked.where("reason IS NULL").drop("reason")
+    processes = good.join(accepted.select(order), order, "left_semi")
+    return accepted.drop(specs), processes, checked.where("reason IS NOT NULL")

@@ -26,12 +26,6 @@ PROCESSES = _struct(task_id=_S, process=_S, threshold_progress=_I, kin=_I, n_job
 EVENTS = _struct(event_id=_L, task_id=_S, process=_S, array_index=_I, event_class=_S,
                  progress=_I, payload=_S, sent_at=_TS, received_at=_TS, hostname=_S,
                  client_ip=_S)
-EDGES = _struct(parent=_S, child=_S)
-LAYERS = T.StructType([
-    T.StructField("scope", _S), T.StructField("layer", _I), T.StructField("path", _S),
-    T.StructField("value", _S), T.StructField("deleted", T.BooleanType()),
-])
-REFS = _struct(ref_group=_S, ref_id=_S, ref_value=_S)
 
 # Wire form of one event record and of one task record (``_meta`` travels inside the record).
 _META = _struct(host=_S, time=_S)
