@@ -118,8 +118,10 @@ FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id AND d.text = r.text
 
 @query("op8_line_spread", LINE_SQL)
 def spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_spread.spread_lines(read(spark, sf_dir, "documents")).select(
-        "doc_id", "text", "n_lines", "n_removed")
+    # As LINE_SQL has it: sites only, and documents above the share left whole.
+    return line_spread.spread_lines(
+        read(spark, sf_dir, "documents"), max_share=line_spread.MAX_SHARE, min_texts=1,
+    ).select("doc_id", "text", "n_lines", "n_removed")
 
 
 @query("op9_language_id")

@@ -59,3 +59,29 @@ def test_query_and_sql_agree(spark):
     sf = "/root/testdata/sf0.001"
     for key in ("op8_line_spread", "op10_warc_segments"):
         assert compare(connect(sf), QUERIES[key](spark, sf), ORACLES[key]) is None
+
+
+def test_lines_go_whatever_their_share_and_copies_stay(frame, few):
+    rng = random.Random(9)
+    common = [f"boilerplate line number {i}" for i in range(6)]
+    rows = [(i, "\n".join([*rng.sample(common, 4), f"own {i}"]), f"site{i % 7}")
+            for i in range(60)]
+    rows += [(100 + i, "one text on many sites\nwith lines of its own", f"site{i}")
+             for i in range(7)]
+    # On 7 sites, but in 4 texts; on 7 sites in 5 texts; in 7 texts on 4 sites.
+    for start, texts, sites in ((200, 4, 7), (300, 5, 7), (400, 7, 4)):
+        rows += [(start + i, f"a line of group {start}\nrest {start + i % texts}",
+                  f"site{i % sites}") for i in range(14)]
+    rows += [(500, common[0] + "\n" + common[1], "a"), (501, common[2], None)]
+    sites, texts = {}, {}
+    for _, text, site in rows:
+        for line in text.split("\n") if site else ():
+            sites.setdefault(line, set()).add(site)
+            texts.setdefault(line, set()).add(text)
+    gone = {x for x in sites if len(x) >= 10 and min(len(sites[x]), len(texts[x])) >= 5}
+    assert gone == {*common, "a line of group 300"}
+    want = {d: ("\n".join(x for x in t.split("\n") if x not in gone),
+                sum(x in gone for x in t.split("\n"))) for d, t, _ in rows}
+    got = spread_lines(frame(rows, SCHEMA), 5, 10).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == want
+    assert want[500] == ("", 2) and want[100][1] == 0 and len(got) == len(rows)
