@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,14 +10,18 @@ from pyspark.sql import functions as F
 
 from runloom.llm.tables import stored
 from runloom.plans.joins import lookup_join
+from runloom.plans.rounds import RoundTables
 
-# Rounds of the walk and the chance that it goes on along a link. What is still moving after
-# that many rounds is at most DAMPING ** ROUNDS of all mass.
-ROUNDS = 12
+# The chance that a walk goes on along a link, and the share of its score that a round may
+# still bring to any host when the walk ends. From then on no round brings a host more than
+# that share, and all of them together at most TOLERANCE / (1 - DAMPING) of all mass.
 DAMPING = 0.85
+TOLERANCE = 1e-9
+# A host that is reached has at least this score (the least normal double), however far it is.
+REACHED = sys.float_info.min
 # A host is blocked when its distrust passes its trust by this share of the two.
 MARGIN = 0.0
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def _split(url: Column) -> tuple[Column, Column]:
@@ -49,13 +54,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 def host_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst, weight)``: how many links lead from pages of one host to another.
 
-    Only absolute links leave a host; they are counted before anything is shuffled. Links
-    within a host carry no trust to others and are left out.
+    Only absolute links and those that start with ``//host`` leave a host; they are counted
+    before anything is shuffled. Links within a host carry no trust to others and are left out.
     """
     host, _ = _split(F.col("url"))
     links = pages.select(host.alias("src"), F.explode(
         F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("link"))
-    target, _ = _split(F.col("link"))
+    link = F.col("link")
+    target, _ = _split(F.when(F.startswith(link, F.lit("//")), F.concat(F.lit("x:"), link))
+                       .otherwise(link))
     return (
         links.select("src", target.alias("dst"))
         .where("src <> dst and src <> '' and dst <> ''")
@@ -63,13 +70,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(
-    edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """``(host, score)``: where walks from the seeds end, by power iteration.
 
     ``edges`` (src, dst, weight) are followed by weight; ``seeds`` (host, seed) say where walks
-    start, as shares of 1. A walk at a host without links ends there. Every round is one join
-    and one aggregate, written to the shared folder.
+    start, as shares of 1. A walk at a host without links ends there. Every round moves what the
+    round before brought, as one join and one aggregate, written to the shared folder. Rounds go
+    on until none brings any host more than ``tolerance`` of its score: a host that is reached
+    for the first time gets all of its score, so every host that links lead to is reached.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = stored(
@@ -78,15 +87,21 @@ def personalised_rank(
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     if shares.isEmpty():
         return start
-    scores = stored(start, "scores")
-    for _ in range(rounds):
+    rounds = RoundTables(edges.sparkSession, "scores")
+    scores, _ = rounds.write(start.select("host", "score", F.col("score").alias("moved")))
+    while not scores.where(F.col("moved") > tolerance * F.col("score")).isEmpty():
         moved = (
-            shares.join(scores.withColumnRenamed("host", "src"), "src")
+            shares.join(scores.where("moved > 0").select(
+                F.col("host").alias("src"), F.col("moved").alias("before")), "src")
             .groupBy(F.col("dst").alias("host"))
-            .agg(F.sum(F.col("share") * F.col("score") * damping).alias("score")))
-        scores = stored(moved.unionByName(start).groupBy("host").agg(
-            F.sum("score").alias("score")), "scores")
-    return scores
+            .agg(F.sum(F.col("share") * F.col("before") * damping).alias("moved")))
+        old, brought = F.sum("score"), F.sum("moved")
+        brought = F.when(old == 0, F.greatest(brought, F.lit(REACHED))).otherwise(brought)
+        scores, _ = rounds.write(
+            scores.select("host", "score", F.lit(0.0).alias("moved"))
+            .unionByName(moved.select("host", F.lit(0.0).alias("score"), "moved"))
+            .groupBy("host").agg((old + brought).alias("score"), brought.alias("moved")))
+    return scores.select("host", "score")
 
 
 def judge_hosts(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
