@@ -11,7 +11,8 @@ import numpy as np
 # Words whose ids a process remembers, and characters that are split at once.
 KNOWN = 500_000
 BATCH = 1 << 19
-# Code points below this are split by table; texts with others go to the tokenizer whole.
+# Code points below this are split by table; texts with others, or with an added token of the
+# file, go to the tokenizer whole.
 TABLE = 0x250
 # White space below TABLE, and the endings that the pattern splits off.
 SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0)
@@ -90,7 +91,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens of the file are found in whole texts before these are split into words.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merger = _merger(self.tokenizer)
         self.classes = _classes()
         self.powers = self.inverse = np.zeros(0, np.uint64)
@@ -107,7 +109,8 @@ class WordEncoder:
         out = [np.zeros(0, np.uint32)] * len(texts)
         group, size = [], 0
         for i, text in enumerate(texts):
-            if text.isascii() or max(text) < chr(TABLE):
+            split = text.isascii() or max(text) < chr(TABLE)
+            if split and not any(t in text for t in self.added):
                 group.append(i)
                 size += len(text) + 1
             else:

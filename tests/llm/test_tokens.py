@@ -37,3 +37,13 @@ def test_without_the_fast_merges_and_with_a_full_memory(monkeypatch):
     assert [x.tolist() for x in got] == [
         slow.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert all(x.dtype == np.uint32 for x in got)
+
+
+def test_added_tokens_are_found_as_in_a_fresh_tokenizer(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "a <|endoftext|>b", "中<|endoftext|>", "<|endoftext|", "plain"]
+    got = [x.tolist() for x in encoder(texts)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [50256]
