@@ -9,6 +9,7 @@ from runloom.catalog.registry import query
 from runloom.catalog.views import Tables
 from runloom.operators import graph as G
 from runloom.operators import refs as R
+from runloom.operators import typed_refs as TR
 from runloom.sources import lines as L
 
 
@@ -180,6 +181,60 @@ def resolve_refs_errors(t: Tables) -> DataFrame:
     return _nested_texts(t)[1]
 
 
+_TYPED = """
+    SELECT o_orderkey, n, CASE
+        WHEN n = 0 THEN 'number' WHEN n = 1 THEN 'list' WHEN n = 2 THEN 'map' WHEN n = 3 THEN 'set'
+        WHEN n IN (4, 8) THEN 'text' WHEN n = 9 THEN 'number' END AS kind,
+        CASE n WHEN 0 THEN c_nationkey::VARCHAR
+               WHEN 1 THEN '["' || c_mktsegment || '",' || c_nationkey || ']'
+               WHEN 2 THEN '{"nation":' || c_nationkey || ',"segment":"' || c_mktsegment || '"}'
+               WHEN 3 THEN '[' || c_nationkey || ']'
+               WHEN 4 THEN '"' || o_orderkey || ' for ' || c_name || '"'
+               WHEN 8 THEN '"' || c_name || '"' WHEN 9 THEN c_nationkey::VARCHAR END AS value,
+        CASE n WHEN 5 THEN 'extra symbols around a number' WHEN 6 THEN 'extra symbols around a map'
+               WHEN 7 THEN 'unknown group' END AS error
+    FROM (SELECT *, o_orderkey % 10 AS n FROM orders) JOIN customer ON o_custkey = c_custkey"""
+
+
+@query("resolve_refs_typed", f"SELECT o_orderkey, kind, value, error FROM ({_TYPED})")
+def resolve_refs_typed(t: Tables) -> DataFrame:
+    """Texts, numbers, lists, maps and sets as values; all but texts only as whole matches."""
+    n, key = F.col("o_orderkey") % 10, F.col("o_custkey")
+
+    def ref(group: str):
+        return F.concat(F.lit(f"$({group}:"), key, F.lit(")"))
+
+    text = F.lit("$(NONE:1)")
+    for i, made in enumerate((
+            ref("NUMBER"), ref("LIST"), ref("MAP"), ref("SET"),
+            F.concat("o_orderkey", F.lit(" for "), ref("NAME")),
+            F.concat(F.lit("no. "), ref("NUMBER")), F.concat(ref("MAP"), F.lit(" ")))):
+        text = F.when(n == i, made).otherwise(text)
+    text = F.when(n == 8, ref("NAME")).when(n == 9, ref("ALIAS")).otherwise(text)
+    texts = t.given("orders").select("o_orderkey", text.alias("text"))
+    nation, segment = F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
+    quoted = F.concat(F.lit('"'), segment, F.lit('"'))
+    made = {
+        "NUMBER": nation,
+        "LIST": F.concat(F.lit("["), quoted, F.lit(","), nation, F.lit("]")),
+        "MAP": F.concat(F.lit('{"segment":'), quoted, F.lit(',"nation":'), nation, F.lit("}")),
+        "SET": F.concat(F.lit("["), nation, F.lit("]")),
+        "NAME": F.concat(F.lit('"'), "c_name", F.lit('"')),
+        "ALIAS": F.concat(F.lit('"$(NUMBER:'), "c_custkey", F.lit(')"')),
+    }
+    values = F.array(*[F.struct(F.lit(g).alias("g"), v.alias("v")) for g, v in made.items()])
+    refs = t.given("customer").select(
+        F.col("c_custkey").cast("string").alias("ref_id"), F.explode(values).alias("x")).select(
+        F.col("x.g").alias("ref_group"), "ref_id", F.parse_json("x.v").alias("ref_value"),
+        (F.col("x.g") == "SET").alias("ref_set"))
+    found, failed = TR.resolve_typed(texts, ["o_orderkey"], "text", refs)
+    nothing = F.lit(None).cast("string")
+    return found.select(
+        "o_orderkey", "kind", F.to_json("value").alias("value"), nothing.alias("error")
+    ).unionByName(failed.select(
+        "o_orderkey", nothing.alias("kind"), nothing.alias("value"), "error"))
+
+
 # --- scheduler text --------------------------------------------------------------------
 
 def _job_lines(t: Tables, status: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ large share of all events is combined map-side and reaches the join as one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
