@@ -14,8 +14,6 @@ from runloom.plans.joins import lookup_join
 
 MIN_SITES = 5
 MIN_CHARS = 20
-# Only for the registered query, whose SQL leaves documents above this share whole.
-MAX_SHARE = 0.5
 # Registers of a sketch (as a power of two), its relative error, and how many errors away
 # from the limit an estimate is trusted.
 LG_REGISTERS = 12
@@ -83,7 +81,6 @@ def spread_lines(
     documents: DataFrame,
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
-    max_share: float | None = None,
     min_texts: int | None = None,
 ) -> DataFrame:
     """Remove lines that stand on many sites; one row per row of ``documents``, all its columns.
@@ -93,9 +90,7 @@ def spread_lines(
     (if not given, as many), whatever their share of the document; added are ``n_lines`` and
     ``n_removed`` (columns of these names are replaced). Lines below ``min_chars`` characters
     are never judged. Copies of one text are one text, so that a text does not lose its lines
-    because it stands on many sites; they are left to document dedup. With ``max_share``, a
-    document of which spread lines make up more than that share of the characters is left
-    whole. A null source is no site. Null text
+    because it stands on many sites; they are left to document dedup. A null source is no site. Null text
     stays null with 0 lines; empty text has one empty line. Repeated rows are rows like others.
     """
     documents = documents.drop("n_lines", "n_removed")
@@ -119,8 +114,6 @@ def spread_lines(
             F.col("__removed").isNotNull(),
             F.array_join(F.transform(keep, lambda i: F.get("__lines", i)), "\n"))))
     cut = F.col("__removed").isNotNull()
-    if max_share is not None:
-        cut &= F.length("text") - F.length("__kept") <= max_share * F.length("text")
     return out.select(
         *[F.when(cut, F.col("__kept")).otherwise(F.col("text")).alias("text")
           if c == "text" else F.col(c) for c in columns],

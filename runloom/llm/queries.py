@@ -110,20 +110,17 @@ WITH lines AS (
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit), '') AS kept
   FROM marked GROUP BY doc_id, text
 )
-SELECT d.doc_id, coalesce(r.n_lines, 0)::INT AS n_lines,
-       CASE WHEN r.n_hit > 0 AND length(d.text) - length(r.kept)
-                 <= {line_spread.MAX_SHARE} * length(d.text) THEN r.n_hit ELSE 0 END AS n_removed,
-       CASE WHEN r.n_hit > 0 AND length(d.text) - length(r.kept)
-                 <= {line_spread.MAX_SHARE} * length(d.text) THEN r.kept ELSE d.text END AS text
+SELECT d.doc_id, coalesce(r.n_lines, 0)::INT AS n_lines, coalesce(r.n_hit, 0)::INT AS n_removed,
+       CASE WHEN r.n_hit > 0 THEN r.kept ELSE d.text END AS text
 FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id AND d.text = r.text
 """
 
 
 @query("op8_line_spread", LINE_SQL)
 def spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # As LINE_SQL has it: sites only, and documents above the share left whole.
+    # As LINE_SQL has it: every distinct site counts, whatever the texts there.
     return line_spread.spread_lines(
-        read(spark, sf_dir, "documents"), max_share=line_spread.MAX_SHARE, min_texts=1,
+        read(spark, sf_dir, "documents"), min_texts=1,
     ).select("doc_id", "text", "n_lines", "n_removed")
 
 

@@ -10,7 +10,7 @@ from runloom.llm.queries import ORACLES, QUERIES
 SCHEMA = "doc_id BIGINT, text STRING, source STRING"
 
 
-def brute(rows, min_sites, min_chars, max_share):
+def brute(rows, min_sites, min_chars):
     sites = {}
     for _, text, source in rows:
         for line in (text or "").split("\n") if text is not None else ():
@@ -25,10 +25,7 @@ def brute(rows, min_sites, min_chars, max_share):
         hit = [len(x.strip(" ")) >= min_chars and len(sites.get(x.strip(" \t\r"), ())) >= min_sites
                for x in lines]
         kept = "\n".join(x for x, h in zip(lines, hit, strict=True) if not h)
-        if not any(hit) or len(text) - len(kept) > max_share * len(text):
-            out.append((doc, text, len(lines), 0))
-        else:
-            out.append((doc, kept, len(lines), sum(hit)))
+        out.append((doc, kept, len(lines), sum(hit)))
     return out
 
 
@@ -41,11 +38,13 @@ def test_against_brute_force(frame, few, min_sites):
         parts = [rng.choice([rng.choice(common), f"own line of {rng.randrange(10**6)}", "", "ab",
                              " " + rng.choice(common) + "\r"]) for _ in range(rng.randint(1, 9))]
         rows.append((i, "\n".join(parts), rng.choice([*"abcdefgh", None])))
+    # A document of nothing but such lines, and a very long one.
+    rows += [(600, "\n".join(common[:4]), "a"), (601, "\n".join([*common, "own"] * 5000), "b")]
     rows += [(500, None, "a"), (501, "", "b"), (None, common[0] + "\nx" * 40, "c"), rows[3], rows[3]]
-    got = spread_lines(frame(rows, SCHEMA), min_sites, 5, 0.5)
+    got = spread_lines(frame(rows, SCHEMA), min_sites, 5, 1)
     key = lambda r: tuple((v is not None, str(v)) for v in r)
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_removed").collect()),
-                  key=key) == sorted(brute(rows, min_sites, 5, 0.5), key=key)
+                  key=key) == sorted(brute(rows, min_sites, 5), key=key)
     assert "removed" in got.columns and got.count() == len(rows)
 
 
