@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,28 +62,28 @@ def _shingles_of(windows: DataFrame, size: int) -> DataFrame:
         .select("window", "offset", length.alias("size"), hashes.alias("hash")))
 
 
-def _positions(documents: DataFrame, sizes: list[int], around: int | None = None) -> DataFrame:
-    """``(row, n, base, tokens, at, hash)`` of every shingle of every document.
+def _positions(documents: DataFrame, size: int, around: int | None = None) -> DataFrame:
+    """``(row, n, base, tokens, at, hash)`` of every shingle of ``size`` words of a document.
 
-    ``tokens`` are the document's ``n`` words from ``base`` on: all of them, which costs nothing
-    as long as rows are not shuffled, or those up to ``around`` words away.
+    ``tokens`` are the document's ``n`` words from ``base`` on: all of them, or those up to
+    ``around`` words away. All of them cost nothing only where what follows is a broadcast join
+    in the same stage, which drops them before a row is made.
     """
-    out = None
-    for k in sizes:
-        one = (
-            documents.select(_key(F.col("text")).alias("row"), words(F.col("text")).alias("tokens"))
-            .withColumn("n", F.size("tokens")).where(F.col("n") >= k)
-            .select("row", "n", "tokens", F.explode(
-                F.sequence(F.lit(0), F.col("n") - k)).alias("at"))
-            .withColumn("hash", shingle(F.col("tokens"), F.col("at"), k)))
-        if around is None:
-            one = one.withColumn("base", F.lit(0))
-        else:
-            one = one.withColumn("base", F.greatest(F.col("at") - around, F.lit(0))).withColumn(
-                "tokens", F.slice("tokens", F.col("base") + 1,
-                                  F.col("at") + around - F.col("base")))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = (
+        documents.select(_key(F.col("text")).alias("row"), words(F.col("text")).alias("tokens"))
+        .withColumn("n", F.size("tokens")).where(F.col("n") >= size)
+        .select("row", "n", "tokens", F.explode(
+            F.sequence(F.lit(0), F.col("n") - size)).alias("at"))
+        .withColumn("hash", shingle(F.col("tokens"), F.col("at"), size)))
+    if around is None:
+        return out.withColumn("base", F.lit(0))
+    return out.withColumn("base", F.greatest(F.col("at") - around, F.lit(0))).withColumn(
+        "tokens", F.slice("tokens", F.col("base") + 1, F.col("at") + around - F.col("base")))
+
+
+def _sizes(df: DataFrame) -> list[int]:
+    """Sizes of shingles in use: at most as many as a shingle has words."""
+    return sorted(r["size"] for r in df.select("size").distinct().collect())
 
 
 def prefixes(documents: DataFrame, windows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -92,11 +94,12 @@ def prefixes(documents: DataFrame, windows: DataFrame, size: int = SHINGLE) -> D
     document has are gone. Occurrences are counted map-side.
     """
     inside = stored(_shingles_of(windows, size), "window-shingles")
-    sizes = sorted(r["size"] for r in inside.select("size").distinct().collect())
+    sizes = _sizes(inside)
     if not sizes:
         return inside.select("window", "offset", "size", "hash")
     wanted = stored(inside.select("hash").distinct(), "wanted-shingles")
-    hashes = _positions(documents, sizes).select("hash")
+    hashes = reduce(DataFrame.unionByName, [
+        _positions(documents, k).select("hash") for k in sizes])
     fits = fits_broadcast(wanted)
     if fits:
         hashes = lookup_join(hashes, wanted, ["hash"], "left_semi", fits)
@@ -122,21 +125,25 @@ def occurrences(
     """
     windows = stored(item_windows(items, window), "item-windows")
     rarest = stored(prefixes(documents, windows, size), "prefixes")
-    sizes = sorted(r["size"] for r in rarest.select("size").distinct().collect())
+    sizes = _sizes(rarest)
     if not sizes:
         none = documents.select(_key(F.col("text")).alias("row"), F.lit(0).alias("start"),
                                 F.array(F.lit("")).alias("window")).where(F.lit(False))
         return none, windows
     start = F.col("at") - F.col("offset")
-    rarest = rarest.drop("size")
     fits = fits_broadcast(rarest)
-    found = (
-        lookup_join(_positions(documents, sizes, None if fits else window), rarest, ["hash"],
-                    "inner", fits)
-        .where((start >= 0) & (start + F.size("window") <= F.col("n")))
-        .where(F.slice("tokens", F.greatest(start - F.col("base"), F.lit(0)) + 1,
-                       F.size("window")) == F.col("window"))
-        .select("row", start.alias("start"), "window").distinct())
+
+    def of_size(k: int) -> DataFrame:
+        met = lookup_join(
+            _positions(documents, k, None if fits else window),
+            rarest.where(F.col("size") == k).drop("size"), ["hash"], "inner", fits)
+        return (
+            met.where((start >= 0) & (start + F.size("window") <= F.col("n")))
+            .where(F.slice("tokens", F.greatest(start - F.col("base"), F.lit(0)) + 1,
+                           F.size("window")) == F.col("window"))
+            .select("row", start.alias("start"), "window"))
+
+    found = reduce(DataFrame.unionByName, [of_size(k) for k in sizes]).distinct()
     return stored(found, "leaks"), windows
 
 
