@@ -257,15 +257,17 @@ def _solve(length: int, keep_first: bool):
         rows = list({(r["start"], r["doc_id"], r["version"], r["pos"]): r
                      for r in rows}.values())
         group = np.array([r["start"] for r in rows], np.int64)
-        age = None
-        if keep_first:
-            order = sorted(range(len(rows)), key=lambda i: (
-                rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, rows[i]["version"],
-                rows[i]["pos"]))
-            age = np.empty(len(rows), np.int64)
-            age[order] = np.arange(len(rows))
-        lefts, rights = longest(group, [r["left"] for r in rows], [r["right"] for r in rows],
-                                length, age)
+        order = sorted(range(len(rows)), key=lambda i: (
+            rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, rows[i]["version"],
+            rows[i]["pos"]))
+        age = np.empty(len(rows), np.int64)
+        age[order] = np.arange(len(rows))
+        around = [r["left"] for r in rows], [r["right"] for r in rows]
+        lefts, rights = longest(group, *around, length, age)
+        if not keep_first:
+            # The mirrored order of age gives the longest matches with later places.
+            later = longest(group, *around, length, len(rows) - 1 - age)
+            lefts, rights = np.maximum(lefts, later[0]), np.maximum(rights, later[1])
         return [(r["doc_id"], r["version"], r["pos"] - int(x), r["pos"] + int(y))
                 for r, x, y in zip(rows, lefts, rights, strict=True) if y]
 
@@ -302,8 +304,9 @@ def repeated_spans(
     first half. Those whose next half length occurs once are dropped. The others carry the
     bytes around them: if these are equal at two places, all of both is a repeat, and one
     place speaks for all. What differs meets grouped by its start, in suffix order, and the
-    previous and next partners in that order give the longest match of each.
-    With ``keep_first`` only matches with an earlier place (by id, then position) count.
+    previous and next places of smaller age in that order give the longest match with an earlier
+    one (by id, then position), those of greater age the longest one with a later one.
+    With ``keep_first`` only matches with an earlier place count.
     """
     half = length // 2
     kind = documents.schema["doc_id"].dataType
