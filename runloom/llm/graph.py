@@ -47,7 +47,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     found = levels[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
     for level in reversed(levels[:-1]):
         upper = found.select(F.col("node").alias("p"), "root")
-        found = level.join(upper, "p", "left").select(
-            F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
-    smallest = found.groupBy("root").agg(F.min("node").alias("component"))
+        # Written, so that adaptive execution can split a root that very many nodes share.
+        found = stored(level.join(upper, "p", "left").select(
+            F.col("u").alias("node"), F.coalesce("root", "p").alias("root")), "roots")
+    smallest = stored(found.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     return found.join(smallest, "root").select("node", "component")
