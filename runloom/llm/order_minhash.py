@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.graph import components
+from runloom.llm.memory import claim
 from runloom.llm.shingles import WORDS, labelled, mix, shingles, word_hashes
 from runloom.llm.tables import stored
 
@@ -65,6 +66,7 @@ def order_sketches(labels: np.ndarray, n: int = SKETCHES, kept: int = KEPT) -> n
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("order_minhash", _forget)
     for batch in batches:
         digests, sizes, keys = [], [], []
         for text in batch.column("text"):
@@ -156,7 +158,13 @@ def _grams(packed: bytes) -> np.ndarray:
     return shingles(word_hashes(zstandard.decompress(packed)))
 
 
+def _forget() -> None:
+    _grams.cache_clear()
+    _profile.cache_clear()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("order_minhash", _forget)
     for batch in batches:
         left, right = batch.column("ta"), batch.column("tb")
         good = [similar(_grams(left[i].as_py()), _grams(right[i].as_py()))
@@ -248,6 +256,7 @@ def _settle(rows: list[dict]) -> Iterator[tuple]:
 
 
 def _settle_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("order_minhash", _forget)
     current, held = None, []
     for batch in batches:
         found = []

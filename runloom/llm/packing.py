@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from runloom.llm.memory import claim
 from runloom.llm.tables import stored
 from runloom.llm.tokens import WordEncoder
 
@@ -201,6 +202,10 @@ def complete(
 # --- documents ---
 
 
+# Texts that a task holds as Python strings at once.
+ROWS = 512
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -214,8 +219,10 @@ def cut(documents: DataFrame, tokenizer: str, length: int = LENGTH, end: int = E
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _encoder.cache_clear)
         encode = _encoder(tokenizer)
-        for batch in batches:
+        parts = (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS))
+        for batch in parts:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, piece, start, size, crc = [], [], [], [], []
             for row, ids in enumerate(encode(texts)):
