@@ -13,9 +13,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told (no text or no letter); ``lang`` stays."""
-    found = langid.identify(docs)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """Drop documents in no learned language, by the length of their code; ``lang`` stays.
+
+    Those are null texts, texts without a letter, and texts that cost more than 8 bits a byte.
+    """
+    return langid.recognised(docs).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
