@@ -313,9 +313,28 @@ def parse_queue_list(t: Tables) -> DataFrame:
     UNION ALL SELECT 'pair', 'Log of job ' || o_orderkey, 'logs/' || o_custkey
     FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'""")
 def parse_submission(t: Tables) -> DataFrame:
+    found = L.dispatch_lines(_submission_text(t)).where("kind is not null")
+    first, last = (F.split(F.col(f"fields.{c}"), r"\.") for c in ("JIDRngBgn", "JIDRngEnd"))
+    kind, one = F.col("kind"), F.lit(0)
+    ends = F.when((F.get(first, one).cast("bigint") == F.get(last, one).cast("bigint"))
+                  & (F.get(first, F.lit(1)).cast("bigint") == F.get(last, F.lit(1)).cast("bigint")),
+                  "single").otherwise("range")
+    return found.select(
+        F.when(kind == "range", ends).otherwise(kind).alias("kind"),
+        F.when(kind == "submitted", F.col("fields.jID"))
+        .when(kind == "cluster", F.col("fields.clusterID"))
+        .when(kind == "range", F.get(first, one))
+        .otherwise(F.rtrim("fields.description")).alias("id"),
+        F.when(kind == "submitted", F.col("fields.queue"))
+        .when(kind == "cluster", F.col("fields.nJobs"))
+        .when(kind == "range", F.get(last, F.lit(1)))
+        .otherwise(F.col("fields.value")).alias("detail"))
+
+
+def _submission_text(t: Tables) -> DataFrame:
     p, key = F.col("o_orderpriority"), F.col("o_orderkey").cast("string")
     small = (F.col("o_custkey") % 9).cast("string")
-    text = t.given("orders").select(
+    return t.given("orders").select(
         F.when(p == "1-URGENT", F.concat(
             F.lit("Job <"), key, F.lit("> is submitted to default queue <q"), "o_orderstatus",
             F.lit(">.")))
@@ -324,24 +343,27 @@ def parse_submission(t: Tables) -> DataFrame:
         .when(p == "3-MEDIUM", F.concat(key, F.lit(".0 - "), key, F.lit("."), small))
         .when(p == "4-NOT SPECIFIED", F.concat(F.lit("Log of job "), key, F.lit("   : logs/"),
                                                "o_custkey"))
-        .otherwise("Submitting job(s).").alias("value"))
-    one, rest = L.parse_lines(text, "job_submitted")
-    many, rest = L.parse_lines(rest, "cluster_submitted")
-    ranges, rest = L.parse_id_range(rest)
-    pairs, _ = L.parse_lines(rest, "key_value")
-    return (
-        one.select(F.lit("submitted").alias("kind"), F.col("jID").alias("id"),
-                   F.col("queue").alias("detail"))
-        .unionByName(many.select(F.lit("cluster").alias("kind"), F.col("clusterID").alias("id"),
-                                 F.col("nJobs").alias("detail")))
-        .unionByName(ranges.select(
-            F.when(F.col("single"), "single").otherwise("range").alias("kind"),
-            F.col("first_cluster").cast("string").alias("id"),
-            F.col("last_process").cast("string").alias("detail")))
-        .unionByName(pairs.select(F.lit("pair").alias("kind"),
-                                  F.rtrim("description").alias("id"),
-                                  F.col("value").alias("detail")))
-    )
+        .when(F.col("o_custkey") % 2 == 0, "")
+        .otherwise(F.concat(F.lit("Submitting job(s) of "), key)).alias("value"))
+
+
+@query("parse_submission_rejects", """
+    SELECT 'Submitting job(s) of ' || o_orderkey AS value FROM orders
+    WHERE o_orderpriority = '5-LOW' AND o_custkey % 2 <> 0""")
+def parse_submission_rejects(t: Tables) -> DataFrame:
+    return L.dispatch_lines(_submission_text(t)).where("kind is null").select("value")
+
+
+@query("parse_queue_list_rejects", """
+    SELECT o_orderkey || ' is held' AS value FROM orders WHERE o_orderpriority = '5-LOW'""")
+def parse_queue_list_rejects(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    text = t.given("orders").select(F.when(
+        F.col("o_orderpriority") == "5-LOW", F.concat(key, F.lit(" is held")))
+        .otherwise(F.concat(key, F.lit(".0 user 6/12 10:11 0+00:00:01 R 0 1.5 run "), key))
+        .alias("value"))
+    _, rest = L.parse_lines(text, "queue_list")
+    return rest
 
 
 @query("log_to_events", """

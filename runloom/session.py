@@ -32,14 +32,18 @@ def build_session(app: str = "runloom", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and per-round tables, named in ``spark.checkpoint.dir``.
 
-    A session without that setting uses a folder in its warehouse, which all executors share
-    as well.
+    A local session without that setting uses a folder in its warehouse. On a cluster the setting
+    is required: executors would each write to a folder of their own machine otherwise.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if root:
         return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(
+            f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{warehouse}/_rounds"
 

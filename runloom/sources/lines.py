@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,14 @@ KINDS = {
     "key_value": KEY_VALUE,
 }
 
+# What a scheduler says after a submission, in the order in which it is tried.
+SUBMISSION = {
+    "submitted": JOB_SUBMITTED,
+    "cluster": CLUSTER_SUBMITTED,
+    "range": r"[\s\S]*?" + ID_RANGE,
+    "pair": KEY_VALUE,
+}
+
 
 def parse_lines(df: DataFrame, kind: str, line: str = "value") -> tuple[DataFrame, DataFrame]:
     """``(rows with one text column per field, lines that do not parse)``.
@@ -35,6 +44,40 @@ def parse_lines(df: DataFrame, kind: str, line: str = "value") -> tuple[DataFram
     return (rows if line in python_groups(KINDS[kind])[1] else rows.drop(line)), rest
 
 
+def dispatch_lines(
+    df: DataFrame, kinds: Mapping[str, str] = SUBMISSION, line: str = "value"
+) -> DataFrame:
+    """Lines of several kinds in one pass: ``kind``, and ``fields`` by name; other columns stay.
+
+    ``kinds`` are patterns with named groups, tried in their order at the start of the line.
+    They are one alternation, evaluated once per line: all groups are written out between
+    separators, and the kind is the first whose own group took part. A line that fits none has a
+    null kind and null fields; empty lines are left out. Names may repeat between kinds.
+    """
+    java, places, at = [], [], 0
+    for rx in kinds.values():
+        pattern, names = python_groups(rx)
+        java.append(f"({pattern[4:]})")
+        places.append((at, names))
+        at += len(names) + 1
+    separator = "\u0001\u001f\u0002"
+    joined = separator.join(f"${i + 1}" for i in range(at))
+    whole = f"(?U)^(?:{'|'.join(java)})[\\s\\S]*$"
+    parts = F.split(F.regexp_replace(F.col(line), whole, joined), separator, -1)
+    kept = [c for c in df.columns if c not in ("kind", "fields")]
+    split = df.where(F.col(line) != "").select(*kept, parts.alias("__parts"))
+    kind = fields = None
+    for (first, names), name in reversed(list(zip(places, kinds, strict=True))):
+        mine = F.get("__parts", F.lit(first)) != ""
+        own = F.create_map(*[x for i, n in enumerate(names) for x in (
+            F.lit(n), F.get("__parts", F.lit(first + 1 + i)))])
+        kind = F.when(mine, name) if kind is None else F.when(mine, name).otherwise(kind)
+        fields = F.when(mine, own) if fields is None else F.when(mine, own).otherwise(fields)
+    parsed = F.size("__parts") == at
+    return split.select(*kept, F.when(parsed, kind).alias("kind"),
+                        F.when(parsed, fields).alias("fields"))
+
+
 def parse_id_range(df: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Lines that contain ``c.p - c.p``: cluster and process of both ends as numbers.
 

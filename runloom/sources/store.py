@@ -43,7 +43,7 @@ def read_store_jdbc(spark: SparkSession, url: str, **options: str) -> Store:
 
 
 def append(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), batch_id: int | None = None
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), batch_id: int | str | None = None
 ) -> None:
     """Append rows. With ``batch_id`` a repeated write of the same batch changes nothing.
 
@@ -59,7 +59,7 @@ def append(
          .partitionBy(*partition_by).parquet(f"{path}/batch={batch_id}"))
 
 
-def read_batches(spark: SparkSession, path: str, batches: Sequence[int], schema: str) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, batches: Sequence[int | str], schema: str) -> DataFrame:
     """Rows of the named batches; no other folder is listed."""
     if not batches:
         return spark.createDataFrame([], schema)
@@ -67,7 +67,7 @@ def read_batches(spark: SparkSession, path: str, batches: Sequence[int], schema:
         *[f"{path}/batch={b}" for b in batches])
 
 
-def drop_batches(spark: SparkSession, path: str, batches: Sequence[int]) -> None:
+def drop_batches(spark: SparkSession, path: str, batches: Sequence[int | str]) -> None:
     """Remove the folders of batches that nobody reads any more; missing ones are no error."""
     jvm = spark.sparkContext._jvm
     for b in batches:

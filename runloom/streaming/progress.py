@@ -3,7 +3,7 @@
 State is kept per unit (task, process, array index) by Spark's streaming aggregation, with
 partial aggregation before the shuffle, so a busy process does not overload one task. Updates
 are written as a log: each batch overwrites its own ``batch=<id>`` folder, which makes replays
-harmless. Reading takes the newest value of each unit; progress and arrival order only grow,
+harmless, and folders are merged by levels as they become many. Reading takes the newest value of each unit; progress and arrival order only grow,
 so the newest value is the greatest one. Events are never dropped for being late.
 """
 
@@ -17,6 +17,9 @@ from runloom.plans.joins import fits_broadcast, lookup_join
 from runloom.schema import ARRAY, PROC, UNIT
 from runloom.sources.store import append, drop_batches, read_batches
 
+# Folders of the unit log that are merged into one.
+FAN = 8
+
 
 def _unit_updates(events: DataFrame) -> DataFrame:
     return events.groupBy(*UNIT).agg(
@@ -25,20 +28,51 @@ def _unit_updates(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_progress(events: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+def _newest(units: DataFrame) -> DataFrame:
+    return units.groupBy(*UNIT).agg(F.max("top").alias("top"), F.max("last").alias("last"))
+
+
+def _level_name(level: int, batch_id: int) -> str:
+    return f"{batch_id}-{level}" if level else str(batch_id)
+
+
+def append_merged(batch: DataFrame, out: str, batch_id: int, fan: int = FAN) -> None:
+    """Write a batch of unit values, and merge folders that have become many.
+
+    ``fan`` folders of one level become one of the next, with one row per unit, so that n batches
+    leave at most about 2 fan log(n) folders and a reading takes units times levels, not batches.
+    All names follow from the batch number: a repeated batch writes the same folders again. What
+    a merge has replaced stays until the next merge of its level, so that readings that began
+    before it still find it; read twice it changes nothing, as the newest value is the greatest.
+    """
+    spark = batch.sparkSession
+    append(batch, out, batch_id=batch_id)
+    schema = ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in batch.columns)
+    level, size = 0, 1
+    while (batch_id + 1) % (size * fan) == 0:
+        names = [_level_name(level, batch_id - i * size) for i in range(fan)]
+        merged = _newest(read_batches(spark, out, names, f"{schema}, batch STRING"))
+        append(merged, out, batch_id=_level_name(level + 1, batch_id))
+        drop_batches(spark, out, [_level_name(level, batch_id - (fan + i) * size)
+                                  for i in range(fan) if batch_id >= (fan + i) * size])
+        level, size = level + 1, size * fan
+
+
+def stream_progress(
+    events: DataFrame, out: str, checkpoint: str, fan: int = FAN, **trigger
+) -> StreamingQuery:
     """Keep the unit log at ``out`` current; read it with ``current_units`` and the like."""
     return (
         _unit_updates(events).writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: append(batch, out, batch_id=batch_id))
+        .foreachBatch(lambda batch, batch_id: append_merged(batch, out, batch_id, fan))
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
 def current_units(spark: SparkSession, out: str, like: DataFrame) -> DataFrame:
     """Newest value of every unit in the log; ``like`` is the event stream's shape."""
-    schema = _unit_updates(like).schema
-    return spark.read.schema(schema).parquet(out).groupBy(*UNIT).agg(
-        F.max("top").alias("top"), F.max("last").alias("last"))
+    schema = _unit_updates(like).schema.add("batch", "string")
+    return _newest(spark.read.schema(schema).parquet(out))
 
 
 def current_processes(units: DataFrame) -> DataFrame:
