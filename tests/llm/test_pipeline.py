@@ -63,8 +63,8 @@ def test_empty_and_odd_tables(spark, results):
 
 # --- plain versions of the stages --------------------------------------------------------
 
-def language(docs, most=8.0):
-    """Documents with a letter that some language codes in at most 8 bits a byte, by counting."""
+def language(docs, most=14.0):
+    """Documents with a letter that some language codes in at most 14 bits a byte, by counting."""
     counts = defaultdict(Counter)
     for d in docs:
         held = zlib.crc32(str(d.doc_id).encode()) % 3 == 1
