@@ -15,7 +15,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language, by the length of their code; ``lang`` stays.
 
-    Those are null texts, texts without a letter, and texts that cost more than 8 bits a byte.
+    Those are null texts, texts without a letter, and texts that cost more than 14 bits a byte.
     """
     return langid.recognised(docs).select(*docs.columns)
 
