@@ -350,6 +350,22 @@ def path_meanings(t: Tables) -> DataFrame:
     return files.extract_path(t.given("pages").select("page_id", "url"), "url", rx).drop("url")
 
 
+@query("path_meanings_listed", """
+    SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment
+    FROM customer""")
+def path_meanings_listed(t: Tables) -> DataFrame:
+    """What the paths of a written tree mean, from a listing of its files."""
+    root = scratch_dir(t.spark, "listed")
+    rows = t.given("customer").select(
+        F.col("c_name").alias("value"), F.col("c_nationkey").alias("nation"),
+        F.col("c_mktsegment").alias("segment"))
+    files.write_tree(rows, root, ["nation", "segment"])
+    rx = r"nation=(?P<nation>\d+)/segment=(?P<segment>[^/]+)/part-"
+    found = files.path_meanings(t.spark, root, "part-*", rx, recursive=True)
+    # A large folder may have several files.
+    return found.select("nation", "segment").distinct()
+
+
 @query("address_parts", """
     SELECT page_id, host, CAST(NULL AS INTEGER) AS port, path,
            regexp_extract(path, '([^/]+)/*$', 1) AS api_version
