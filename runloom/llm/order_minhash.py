@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from runloom.llm.tables import stored
 
 # Sketches per document, and labelled shingles that one sketch keeps in text order. Two texts
 # that share 80 % of their shingles in order agree in one sketch with probability 0.8 ** 4, and
-# in none of 20 with probability 3e-5.
+# in none of 20 with probability 3e-5; it is 1.2e-4 for the shortest texts without further keys.
 SKETCHES = 20
 KEPT = 4
 SIMILARITY = 0.8
@@ -28,6 +29,8 @@ SIMILARITY = 0.8
 # as many others; and ranges of a fingerprint.
 ORDERS = 4
 PART = 256
+# Texts of at most so many shingles have further keys, with which no similar pair is missed.
+SHORT = 14
 BINS = 512
 _ROW = 1 << 20
 
@@ -65,6 +68,35 @@ def order_sketches(labels: np.ndarray, n: int = SKETCHES, kept: int = KEPT) -> n
     return key
 
 
+@lru_cache(maxsize=SHORT)
+def _left_over(n: int) -> list[np.ndarray]:
+    """Per number of places taken out of ``n``, the places left: one row per choice."""
+    return [np.array(list(combinations(range(n), n - gone)), np.int64)
+            for gone in range(int((1 - SIMILARITY) * n + 1e-9) + 1)]
+
+
+def short_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of a short text: what is left of it when as many shingles go as a match may lack.
+
+    Of two similar texts, either has at most a fifth of its shingles unmatched; without these
+    the two are equal, so they have a key in common.
+    """
+    if not 0 < len(grams) <= SHORT:
+        return np.zeros(0, np.uint64)
+    out = []
+    for places in _left_over(len(grams)):
+        key = np.full(len(places), places.shape[1], np.uint64)
+        for column in places.T:
+            key = mix(key * np.uint64(31) + grams[column])
+        out.append(key)
+    return np.unique(np.concatenate(out))
+
+
+def bucket_keys(grams: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """All keys under which a text meets others."""
+    return np.concatenate([order_sketches(labels), short_keys(grams)])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("order_minhash", _forget)
     for batch in batches:
@@ -80,7 +112,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(hashlib.blake2b(kind, digest_size=16).digest())
             grams = shingles(words)
             sizes.append(len(grams))
-            keys.append(order_sketches(labelled(grams)).view(np.int64))
+            keys.append(bucket_keys(grams, labelled(grams)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
              pa.array(keys, pa.list_(pa.int64()))],
@@ -199,8 +231,9 @@ def fingerprint(labels: np.ndarray, bins: int = BINS) -> np.ndarray:
 @lru_cache(maxsize=512)
 def _profile(packed: bytes) -> tuple[np.ndarray, frozenset[int], np.ndarray]:
     """Fingerprint, sketches and labelled shingles of a text."""
-    labels = labelled(_grams(packed))
-    keys = frozenset(order_sketches(labels).view(np.int64).tolist())
+    grams = _grams(packed)
+    labels = labelled(grams)
+    keys = frozenset(bucket_keys(grams, labels).view(np.int64).tolist())
     return fingerprint(labels), keys, labels
 
 
@@ -366,7 +399,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     all. Candidates agree in one sketch at least: every text is aligned with a leader of each
     of its buckets; then the ones that this left outside the leader's component meet all other
     members outside their own, in parts of bounded size, where only pairs whose fingerprints
-    come near are aligned. No bucket is expanded into rows of pairs.
+    come near are aligned. No bucket is expanded into rows of pairs. Texts of at most SHORT
+    shingles also meet by what is left of them without a fifth of their shingles, so that no
+    similar pair of them is missed.
 
     A text of fewer than five words is one shingle; texts without words are equal only byte
     for byte. Null text is in no class but its own. A null id gets the class of its text, or

@@ -119,3 +119,35 @@ def test_one_document_of_each_group_stays(frame, few):
 def test_no_documents(frame, few):
     assert M.near_duplicates(frame([], SCHEMA)).count() == 0
     assert M.drop_duplicates(frame([(1, None)], SCHEMA)).count() == 1
+
+
+def test_short_texts_that_are_similar_share_a_key():
+    rng = random.Random(6)
+    pairs = 0
+    for _ in range(6000):
+        letters = rng.choice([3, 8, 1000])
+        a = [rng.randrange(letters) for _ in range(rng.randint(1, M.SHORT))]
+        b = changed(rng, a, rng.randint(0, 4), lambda n=letters: rng.randrange(n))
+        if not 0 < len(b) <= M.SHORT:
+            continue
+        m = common(a, b)
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        if m / (len(a) + len(b) - m) >= 0.8:
+            pairs += len(a) != len(b) or bool((a != b).any())
+            assert set(M.short_keys(a).tolist()) & set(M.short_keys(b).tolist())
+    assert pairs > 500
+    assert not len(M.short_keys(np.arange(M.SHORT + 1, dtype=np.uint64)))
+
+
+def test_all_links_of_short_texts_and_a_very_long_one(frame, few):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 300, 3):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 18))]
+        rows += [(i, " ".join(own)), (i + 1, " ".join([*own, f"x{i}"])),
+                 (i + 2, " ".join([f"y{i}", *own]))]
+    rows.append((1000, "some words in a row again and again " * 40_000))
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(frame(rows, SCHEMA)).collect()}
+    want = brute(rows[:-1])
+    assert got == {**{d: want[t] for d, t in rows[:-1]}, 1000: 1000}
+    assert sum(d != c for d, c in got.items()) > 100
