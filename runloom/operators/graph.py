@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from runloom.plans.nesting import MAX_ITEMS, nest
 from runloom.plans.rounds import RoundTables
+from runloom.plans.sizing import tasks
 
 # Taking nodes out goes on while a round removes at least this share of the edges.
 _SHARE = 0.1
@@ -108,18 +109,23 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     With ``roots`` (column ``node``) only pairs whose child is a root, followed backwards from
     the roots; in a deep graph that is contracted around the roots, the nodes taken out get
     the roots of what is behind them. Without ``roots`` the answer is quadratic by its
-    nature; the reach doubles every round. Every round is written to the shared folder.
+    nature; the reach doubles every round. Every round is written to the shared folder, by tasks
+    whose number follows the pairs.
     """
     if roots is not None:
         return _closure_of(edges, roots.select("node").distinct())
-    base = edges.select("parent", "child").distinct()
+    given = edges.count()
+    base = edges.select("parent", "child").repartition(tasks(given), "parent", "child").distinct()
     tables = RoundTables(edges.sparkSession, "closure")
-    new, n = tables.write(base)
+    new, n = tables.write(base, given)
+    total = n
     while n:
         so_far = tables.all(base)
         found = new.select("parent", F.col("child").alias("via")).join(
             so_far.select(F.col("parent").alias("via"), "child"), "via").select("parent", "child")
-        new, n = tables.write(found.distinct().join(so_far, ["parent", "child"], "left_anti"))
+        new, n = tables.write(found.distinct().join(so_far, ["parent", "child"], "left_anti"),
+                              n + total)
+        total += n
     return tables.all(base)
 
 
