@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from runloom.functions.fixed_values import MAX_SUBSTITUTIONS, REFERENCE
 from runloom.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, volume
 from runloom.plans.rounds import RoundTables
+from runloom.plans.sizing import tasks
 
 UNKNOWN_GROUP = "unknown group"
 UNKNOWN_ID = "unknown reference"
@@ -31,10 +32,13 @@ _UNMET = "unmet:"
 
 def _substitute(
     df: DataFrame, key: Sequence[str], text: str, lookup: DataFrame, count: Column, fits: bool,
-    functions: Functions | None,
+    functions: Functions | None, parts_in: int,
 ) -> DataFrame:
     """Replace all references of ``text`` once: ``(*key, text, used, error)``.
 
+    The pieces of a text meet in one of ``parts_in`` tasks, not combined before, as they come
+    from different places; so no task gathers more for being given a larger file.
+
     ``lookup`` holds ``ref_group, ref_id, ref_value, used, error``; ``count`` is the number of
     substitutions the text has behind it. Texts without references bypass the join. Texts with
     MAX_SUBSTITUTIONS references or more are errors already, so the list that is gathered per
@@ -77,7 +81,7 @@ def _substitute(
     blank = F.lit("")
     piece = F.concat(*[F.coalesce(F.col(c), blank) for c in ("literal", "to_value", "tail")])
     pieces = F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece"))))
-    done = met.withColumn("problem", problem).groupBy(*key).agg(
+    done = met.withColumn("problem", problem).repartition(parts_in, *key).groupBy(*key).agg(
         F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"),
         (F.first("used") + F.sum(F.coalesce("to_used", F.lit(0)) + 1)).alias("used"),
         F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("pos"))).alias("problem"),
@@ -87,6 +91,18 @@ def _substitute(
     return plain.unionByName(excess).unionByName(done)
 
 
+def _load(df: DataFrame, text: str, *more: Column) -> Row:
+    """Count what replacing the references of ``text`` moves: ``n_parts`` and ``part_bytes``.
+
+    A part takes its share of the text and a value of, by guess, the same length as a key.
+    """
+    n = F.coalesce(F.regexp_count(text, F.lit(REFERENCE)), F.lit(0)).cast("bigint")
+    return df.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n_parts"),
+        F.coalesce(F.sum(F.when(n > 0, F.octet_length(text) + 64 * n)), F.lit(0))
+        .alias("part_bytes"), *more).first()
+
+
 def resolve_lookup(
     refs: DataFrame, functions: Functions | None = None
 ) -> tuple[DataFrame, bool]:
@@ -98,7 +114,8 @@ def resolve_lookup(
     becomes one within eight rounds. Rounds are written to the shared folder. A key that comes
     several times counts once; with different values it is an error for those who use it.
     """
-    refs = refs.groupBy(*_KEY).agg(
+    given = refs.count()
+    refs = refs.select(*_KEY, "ref_value").repartition(tasks(given), *_KEY).groupBy(*_KEY).agg(
         F.min("ref_value").alias("ref_value"),
         (F.coalesce(F.min("ref_value") != F.max("ref_value"), F.lit(False))
          | F.count("ref_value").between(1, F.count(F.lit(1)) - 1)).alias("__several"))
@@ -108,30 +125,34 @@ def resolve_lookup(
     now, _ = tables.write(refs.select(
         *_KEY, "ref_value", F.lit(0).cast("bigint").alias("used"),
         F.when(F.col("__several"), AMBIGUOUS).when(F.col("ref_value").isNull(), NULL_RESULT)
-        .otherwise(loops).alias("error")))
+        .otherwise(loops).alias("error")), given)
     is_open = F.coalesce(F.col("error").isNull() & F.col("ref_value").rlike(REFERENCE),
                          F.lit(False))
     settled, n_settled, bytes_settled = None, 0, 0
     while True:
         lookup = now if settled is None else settled.unionByName(now)
         done = ~is_open
-        found = now.agg(
+        found = _load(
+            now.withColumn("__open", F.when(is_open, F.col("ref_value"))), "__open",
             F.count(F.lit(1)).alias("n"), F.sum(volume(now)).alias("bytes"),
             F.count_if(done).alias("n_done"),
-            F.sum(F.when(done, volume(now))).alias("bytes_done")).first()
+            F.sum(F.when(done, volume(now))).alias("bytes_done"))
         fits = (n_settled + found["n"] <= BROADCAST_ROWS
                 and bytes_settled + (found["bytes"] or 0) <= BROADCAST_BYTES)
         if found["n_done"] == found["n"]:
             return lookup, fits
+        parts_in = tasks(found["n_parts"], found["part_bytes"])
         next_ = _substitute(now.where(is_open), _KEY, "ref_value", lookup, F.col("used"), fits,
-                            functions)
+                            functions, parts_in)
+        moved = found["n_parts"] + n_settled + found["n"]
         n_settled += found["n_done"]
         bytes_settled += found["bytes_done"] or 0
         # A settled reference stays in the table of its round; later rounds hold the open ones.
         settled = tables.all(now).where(done)
         now, _ = tables.write(
             next_.withColumnRenamed("text", "ref_value")
-            .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error")))
+            .select(*_KEY, "ref_value", "used", F.coalesce("error", loops).alias("error")),
+            moved, found["part_bytes"])
 
 
 def resolve_refs(
@@ -151,10 +172,15 @@ def resolve_refs(
     """
     key = list(key)
     lookup, fits = resolve_lookup(refs, functions)
-    done = _substitute(df, key, text, lookup, F.lit(0), fits, functions)
+    load = _load(df, text)
+    # Written, as both results are read from it, and with the number of tasks it needs.
+    done, _ = RoundTables(df.sparkSession, "resolved").write(
+        _substitute(df, key, text, lookup, F.lit(0), fits, functions,
+                    tasks(load["n_parts"], load["part_bytes"])),
+        load["n_parts"], load["part_bytes"])
     resolved = done.where(F.col("error").isNull()).select(*key, F.col("text").alias(text))
-    groups = refs.select(F.concat(F.lit(_UNMET), "ref_group").alias("error"),
-                         F.lit(True).alias("known")).distinct()
+    groups = lookup.select(F.concat(F.lit(_UNMET), "ref_group").alias("error"),
+                           F.lit(True).alias("known")).distinct()
     failed = lookup_join(done.where(F.col("error").isNotNull()).select(*key, "error"), groups,
                          ["error"], "left")
     unmet = F.col("error").startswith(_UNMET)

@@ -4,12 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import graph as G
+from runloom.operators.refs import resolve_refs
 from runloom.plans import rounds, sizing
 
 PARTITIONS = "spark.sql.shuffle.partitions"
 COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def apart(spark):
     """Small shuffle partitions stay apart, so that tests can count them."""
@@ -45,3 +50,15 @@ def test_closure_takes_tasks_by_its_pairs(spark, apart, monkeypatch):
     found = {tuple(r) for r in G.closure(edges).collect()}
     assert found == {(a, b) for a in range(n + 1) for b in range(a + 1, n + 1)}
     assert max(files for _, files in used) > 8  # four partitions are set
+
+
+def test_resolved_texts_are_worked_out_once(spark, rows):
+    refs = spark.createDataFrame([("A", "1", "x"), ("A", "2", "<$(A:1)>"), ("A", "3", None)],
+                                 "ref_group string, ref_id string, ref_value string")
+    texts = spark.createDataFrame(
+        [(1, "$(A:2)$(A:1)"), (2, "$(A:9)"), (3, "$(B:1)"), (4, "plain"), (5, None),
+         (6, "$(A:3)")], "k int, text string")
+    good, bad = resolve_refs(texts, ["k"], "text", refs)
+    assert rows(good) == [(1, "<x>x"), (4, "plain"), (5, None)]
+    assert rows(bad) == [(2, "unknown reference"), (3, "unknown group"), (6, "null result")]
+    assert "Aggregate" not in plan(good) and "Join" not in plan(good)
