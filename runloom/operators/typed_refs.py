@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.refs import resolve_refs
-from runloom.plans.joins import lookup_join
+from runloom.plans.joins import fits_broadcast
+from runloom.plans.rounds import RoundTables
+from runloom.plans.sizing import tasks
 
 EXTRA = "extra symbols around a "
 UNSUPPORTED = "value of another type"
@@ -57,9 +59,17 @@ def resolve_typed(
         "__has": F.contains(text, F.lit(_MARK)), "__whole": F.col(text).rlike(_WHOLE)})
     flat = marked.where(~F.col("__has")).select(
         *key, F.lit("text").alias("kind"), F.col(text).cast("variant").alias("value"))
-    values = known.where("kind <> 'text'").groupBy("ref_group", "ref_id").agg(
+    other, n_other = RoundTables(refs.sparkSession, "typed-values").write(
+        known.where("kind <> 'text'").select("ref_group", "ref_id", "kind", "ref_value"))
+    values = other.repartition(tasks(n_other), "ref_group", "ref_id").groupBy(
+        "ref_group", "ref_id").agg(
         F.first("kind").alias("kind"), F.first("ref_value").alias("value"))
-    typed = lookup_join(marked.where("__has"), values, ["ref_group", "ref_id"], "left")
+    if fits_broadcast(other):
+        values = F.broadcast(values)
+    has = marked.where("__has")
+    typed, _ = RoundTables(df.sparkSession, "typed").write(
+        has.join(values, ["ref_group", "ref_id"], "left").select(*key, "__whole", "kind", "value"),
+        n_other + has.count())
     good = F.col("__whole") & (F.col("kind") != UNSUPPORTED)
     extra = typed.where(~good).select(
         *key, F.when(F.col("kind") == UNSUPPORTED, UNSUPPORTED)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import graph as G
 from runloom.operators.refs import resolve_refs
+from runloom.operators.typed_refs import resolve_typed
 from runloom.plans import rounds, sizing
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -62,3 +63,16 @@ def test_resolved_texts_are_worked_out_once(spark, rows):
     assert rows(good) == [(1, "<x>x"), (4, "plain"), (5, None)]
     assert rows(bad) == [(2, "unknown reference"), (3, "unknown group"), (6, "null result")]
     assert "Aggregate" not in plan(good) and "Join" not in plan(good)
+
+
+def test_typed_values_are_looked_up_once(spark, rows):
+    refs = spark.createDataFrame([("N", "1", "7"), ("T", "1", '"t"')],
+                                 "ref_group string, ref_id string, v string").select(
+        "ref_group", "ref_id", F.parse_json("v").alias("ref_value"))
+    texts = spark.createDataFrame([(1, "$(N:1)"), (2, "no $(N:1)"), (3, "$(T:1)s")],
+                                  "k int, text string")
+    good, bad = resolve_typed(texts, ["k"], "text", refs)
+    assert rows(good.select("k", "kind", F.to_json("value"))) == [
+        (1, "number", "7"), (3, "text", '"ts"')]
+    assert rows(bad) == [(2, "extra symbols around a number")]
+    assert "Aggregate" not in plan(good) and "Join" not in plan(good)
