@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.operators.monitor import Store
+from runloom.plans.sizing import tasks
 from runloom.session import scratch_dir
 
 GIVEN = {
@@ -28,6 +29,9 @@ GIVEN = {
     "pages": "page_id BIGINT, url STRING, html STRING",
 }
 
+# Micro-batches of the events as a stream.
+BATCHES = 3
+
 # Event vocabulary of the log, by type of the given event.
 CLASSES = {"signup": "SUBMITTED", "view": "STARTED", "click": "PROGRESS",
            "purchase": "DONE", "error": "FAILED"}
@@ -119,11 +123,13 @@ class Tables:
         return Store(self.tasks, self.task_tags, self.processes, self.events)
 
     def event_stream(self) -> DataFrame:
-        """The given events as a stream of at least three files, one file to a micro-batch."""
+        """The given events as a stream of three micro-batches, each of as many files as it needs."""
         path = scratch_dir(self.spark, "event-files")
-        self.given("events").repartition(3).write.parquet(path)
+        events = self.given("events")
+        per_batch = tasks(-(-events.count() // BATCHES))
+        events.repartition(BATCHES * per_batch).write.parquet(path)
         return self.spark.readStream.schema(GIVEN["events"]).option(
-            "maxFilesPerTrigger", 1).parquet(path)
+            "maxFilesPerTrigger", per_batch).parquet(path)
 
     @cached_property
     def wire(self) -> DataFrame:

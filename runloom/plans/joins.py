@@ -66,6 +66,9 @@ def lookup_join(
 def split_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Shuffle join whose hot keys can be split: ``right`` is written to the shared folder."""
+    """Shuffle join whose hot keys can be split: ``right`` is written to the shared folder.
+
+    The hint keeps Spark from broadcasting it after all, for being small as a packed file.
+    """
     written, _ = RoundTables(left.sparkSession, "side").write(right)
-    return left.join(written, list(on), how)
+    return left.join(written.hint("merge"), list(on), how)

@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from runloom.catalog.views import Tables
 from runloom.operators import graph as G
 from runloom.operators.refs import resolve_refs
 from runloom.operators.typed_refs import resolve_typed
 from runloom.plans import rounds, sizing
+from runloom.plans.joins import split_join
 
 PARTITIONS = "spark.sql.shuffle.partitions"
 COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
@@ -76,3 +78,30 @@ def test_typed_values_are_looked_up_once(spark, rows):
         (1, "number", "7"), (3, "text", '"ts"')]
     assert rows(bad) == [(2, "extra symbols around a number")]
     assert "Aggregate" not in plan(good) and "Join" not in plan(good)
+
+
+def test_stream_files_follow_the_events(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sizing, "TASK_ROWS", 100)
+    spark.range(1500).select(
+        F.col("id").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"),
+        F.lit(0.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    sizes = []
+
+    def note(batch, _):
+        per_file = batch.groupBy(F.input_file_name()).count().collect()
+        sizes.append([r["count"] for r in per_file])
+
+    q = Tables(spark, tmp_path).event_stream().writeStream.foreachBatch(note).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(sizes) == 3 and sum(map(sum, sizes)) == 1500
+    assert max(map(max, sizes)) <= 150
+
+
+def test_a_written_side_is_not_broadcast(spark):
+    left = spark.range(10).withColumnRenamed("id", "k")
+    right = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = split_join(left, right, ["k"])
+    assert joined.count() == 10 and "Broadcast" not in plan(joined)
