@@ -8,20 +8,23 @@ and never adds edges. What was taken out is put back at the end.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from runloom.plans.nesting import MAX_ITEMS, nest
 from runloom.plans.rounds import RoundTables
-from runloom.plans.sizing import tasks
+from runloom.plans.sizing import TASK_ROWS, tasks
 
 # Taking nodes out goes on while a round removes at least this share of the edges.
 _SHARE = 0.1
 # Rounds of one edge each before a graph is contracted.
 SHALLOW = 24
+# Names of one block, as bits of a long.
+_BITS = 64
 
 
 def edge_union(*edges: DataFrame) -> DataFrame:
@@ -177,19 +180,141 @@ def _names_ahead(core: DataFrame, named: DataFrame, most: int | None = None) ->
     return tables.all(new)
 
 
+def _name_bits(named: DataFrame, names: DataFrame) -> DataFrame:
+    """``(node, block, own)``: the names of a node as bits, with 64 numbers to a block."""
+    return named.join(names, "name").groupBy(
+        "node", F.expr(f"number div {_BITS}").alias("block")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(number % {_BITS} as int)))").alias("own"))
+
+
+def _by_height(core: DataFrame, size: int, own: DataFrame, n_own: int) -> DataFrame | None:
+    """``(origin, node, block, hit)``: nodes behind the origin that share its names in ``hit``.
+
+    Goes by height, the longest path from a node to the last one behind it. From the leaves
+    up, every node learns the names behind it when all its children know theirs. From the top
+    down, origins then follow only edges with one of their names ahead, and a node takes them
+    when all its parents have passed them on. So each edge and each pair is handled in one round,
+    however many rounds there are. Null where there is no height, on cycles, or where heights
+    grow too slowly.
+    """
+    spark = core.sparkSession
+    edge_rounds, state_rounds = RoundTables(spark, "edges-left"), RoundTables(spark, "names-behind")
+    live_rounds = RoundTables(spark, "edges-with-names")
+
+    def waiting(edges: DataFrame) -> DataFrame:
+        return edges.select(F.col("parent").alias("node")).distinct().withColumn(
+            "waits", F.lit(True))
+
+    def pending(state: DataFrame, edges: DataFrame, height: int) -> DataFrame:
+        return state.join(waiting(edges), "node", "left").withColumn("height", F.lit(height))
+
+    left = core
+    state, n_state = state_rounds.write(
+        pending(own.withColumn("behind", F.lit(0).cast("bigint")), left, 0), _large(size + n_own))
+    height = n_all = 0
+    while size:
+        seen = Observation()
+        marked = edge_rounds.put(
+            left.join(waiting(left).withColumnRenamed("node", "child"), "child", "left")
+            .select("parent", "child", "waits").observe(seen, F.count("waits").alias("n")),
+            _large(2 * size))
+        left = marked.where("waits").select("parent", "child")
+        before, size = size, seen.get["n"]
+        gone = before - size
+        if not gone or (height >= SHALLOW and gone < _SHARE * before):
+            return None
+        live, n_live = live_rounds.write(
+            marked.where("waits is null").select("parent", "child").join(
+                state.where("waits is null").select(
+                    F.col("node").alias("child"), "block", "own", "behind"), "child")
+            .withColumn("height", F.lit(height)), _large(gone + n_state))
+        height, n_all = height + 1, n_all + n_live + n_state
+        passed = live.select(F.col("parent").alias("node"), "block",
+                             F.lit(0).cast("bigint").alias("own"),
+                             F.expr("own | behind").alias("behind"))
+        told = state.where("waits").select("node", "block", "own", "behind").unionByName(
+            passed).groupBy("node", "block").agg(
+            F.expr("bit_or(own)").alias("own"), F.expr("bit_or(behind)").alias("behind"))
+        state, n_state = state_rounds.write(pending(told, left, height),
+                                            _large(n_state + n_live + size))
+    if not height:
+        return None
+
+    known = state_rounds.all(state).where("waits is null")
+    tops = known.where("behind <> 0").select(
+        F.col("node").alias("parent"), "block", F.col("height").alias("top"))
+    live = RoundTables(spark, "edges-by-height").put(
+        live_rounds.all(live).join(tops, ["parent", "block"]), _large(n_all), by=["top"])
+    starts = RoundTables(spark, "origins").put(
+        known.where("own & behind <> 0").select(
+            "height", F.col("node").alias("origin"), "node", "block",
+            F.expr("own & behind").alias("names")), by=["height"])
+    at_top = Counter(_sizes(live, "top")) + Counter(_sizes(starts, "height"))
+    carried = RoundTables(spark, "names-carried")
+    met: list[DataFrame] = []
+    n_met = 0
+    for top in range(height, 0, -1):
+        here = starts.where(F.col("height") == top).drop("height")
+        if met:
+            come = reduce(DataFrame.unionByName, (
+                m.where((F.col("height") == top) & (F.col("ahead") != 0)) for m in met))
+            here = here.unionByName(come.select(
+                "origin", "node", "block", F.col("ahead").alias("names")).distinct())
+        passed, n = carried.write(
+            here.withColumnRenamed("node", "parent").join(
+                live.where(F.col("top") == top), ["parent", "block"])
+            .where("names & (own | behind) <> 0").select(
+                "origin", F.col("child").alias("node"), "block", "height",
+                F.expr("names & own").alias("hit"), F.expr("names & behind").alias("ahead")),
+            _large(at_top[top] + n_met), by=["height"])
+        n_met += n
+        met.append(passed)
+    return reduce(DataFrame.unionByName, met).where("hit <> 0").select(
+        "origin", "node", "block", "hit").distinct()
+
+
+def _large(rows: int) -> int | None:
+    """Rows that need more than one task: Spark's own plans do for rounds of fewer."""
+    return rows if rows > TASK_ROWS else None
+
+
+def _sizes(df: DataFrame, by: str) -> dict[int, int]:
+    return {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+
+
 def duplicate_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names borne by two different jobs of which one depends on the other: an error.
 
     ``nodes`` has ``node, name``. Only nodes that share their name matter: each carries its
-    name to what depends on it, as long as a node of that name is still ahead. A deep graph is
-    contracted around them. One row ``name, parent, child`` per offending pair.
+    name to what depends on it, as long as a node of that name is still ahead. Without cycles
+    this goes by the heights of nodes; else, or if heights grow slowly, step by step, and a deep
+    graph is contracted around these nodes. One row ``name, parent, child`` per offending pair.
     """
     spark = edges.sparkSession
     named = nodes.select("node", "name").distinct()
     shared = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    risky, _ = RoundTables(spark, "shared-names").write(
+    risky, n_risky = RoundTables(spark, "shared-names").write(
         named.join(shared.select("name"), "name", "left_semi").select("node", "name"))
-    core = edges.select("parent", "child").distinct()
+    core, size = RoundTables(spark, "edges").write(
+        edges.where("parent <> child").select("parent", "child").distinct(), edges.count())
+    # Written, so that all readings agree on the numbers; a task's names have following ones.
+    names = RoundTables(spark, "name-numbers").put(
+        risky.select("name").distinct().coalesce(tasks(n_risky))
+        .withColumn("number", F.monotonically_increasing_id()))
+    own, n_own = RoundTables(spark, "name-bits").write(_name_bits(risky, names), n_risky)
+    met = _by_height(core, size, own, n_own)
+    if met is None:
+        return _step_by_step(core, risky)
+    bit = F.explode(F.sequence(F.lit(0), F.lit(_BITS - 1)))
+    return met.select("origin", "node", "block", "hit", bit.alias("bit")).where(
+        "getbit(hit, bit) = 1").select(
+        "origin", "node", (F.col("block") * _BITS + F.col("bit")).alias("number")).join(
+        names, "number").select(
+        "name", F.col("origin").alias("parent"), F.col("node").alias("child"))
+
+
+def _step_by_step(core: DataFrame, risky: DataFrame) -> DataFrame:
+    spark = core.sparkSession
     ahead_all = _names_ahead(core, risky, SHALLOW)
     if ahead_all is None:
         core = contract(core, risky.select("node").distinct()).core

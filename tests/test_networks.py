@@ -94,6 +94,46 @@ def test_duplicate_names(spark, rows):
     assert rows(G.duplicate_names(edges(spark, "ab", "bc", "ad"), nodes)) == [("n1", "a", "c")]
 
 
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING"])
+def test_duplicate_names_by_height(spark, monkeypatch, kind):
+    rng = random.Random(7)
+    node = int if kind == "BIGINT" else str
+    pairs = [(min(a, b), max(a, b)) for a, b in
+             ((rng.randrange(60), rng.randrange(60)) for _ in range(130))]
+    all_ = {(a, b) for a, b in reach([p for p in pairs if p[0] != p[1]])}
+    # More names than a block has bits, nodes of several names and without, rows that come twice.
+    names = [(rng.randrange(60), f"n{rng.randrange(80)}") for _ in range(300)]
+    names += [(2, None), (3, None), (90, "n1")] + names[:20]
+    monkeypatch.setattr(G, "_step_by_step", None)
+    got = G.duplicate_names(
+        spark.createDataFrame([(node(a), node(b)) for a, b in pairs + pairs[:9]]
+                              + [(None, node(1)), (node(2), None)],
+                              f"parent {kind}, child {kind}"),
+        spark.createDataFrame([(node(n), name) for n, name in names],
+                              f"node {kind}, name STRING"))
+    assert len({name for _, name in names}) > 64
+    assert sorted(map(tuple, got.collect())) == sorted({
+        (name, node(a), node(b)) for a, b in all_ for n, name in names
+        if n == a and name is not None and (b, name) in names})
+
+
+def test_duplicate_names_reads_no_round_again(spark, monkeypatch):
+    read = []
+    read_all = G.RoundTables.all
+
+    def noted(self, like):
+        read.extend(self.paths)
+        return read_all(self, like)
+
+    monkeypatch.setattr(G.RoundTables, "all", noted)
+    depth = 8
+    pairs = [(2 * i + a, 2 * i + 2 + b) for i in range(depth) for a in (0, 1) for b in (0, 1)]
+    nodes = spark.range(2 * depth + 2).select(F.col("id").alias("node"), F.lit("n").alias("name"))
+    got = G.duplicate_names(spark.createDataFrame(pairs, "parent BIGINT, child BIGINT"), nodes)
+    assert got.count() == 2 * depth * (depth + 1)
+    assert len(read) == len(set(read))
+
+
 def test_keys_with_several_values(spark, rows):
     refs = spark.createDataFrame(
         [("G", "x", "one"), ("G", "x", "two"), ("G", "y", "same"), ("G", "y", "same"),
