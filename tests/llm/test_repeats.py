@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from runloom.llm import repeats
+from runloom.llm import QUERIES, repeats
 
 SCHEMA = "doc_id BIGINT, text STRING"
 
@@ -66,3 +66,20 @@ def test_a_null_id_is_a_document(frame, few):
 
 def test_no_documents(frame, few):
     assert repeats.remove_repeats(frame([], SCHEMA)).count() == 0
+
+
+def test_planted_passages_of_the_query(spark, frame, few, tmp_path):
+    rng = random.Random(8)
+    words = lambda n, size: " ".join(
+        "".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    # 51 words: one passage of 458 bytes, one of 356; a passage needs 400 bytes, not words.
+    long, short = words(51, 8), words(51, 6)
+    parts = {1: long, 2: long, 3: short, 4: short, 5: words(51, 8),
+             6: long[:400], 7: long[20:419]}
+    docs = [(d, f"{words(80, 7)}\n{p}\n{words(80, 7)}") for d, p in parts.items()]
+    frame(docs, SCHEMA, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_longest_previous_factor"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == brute([(d, t.encode()) for d, t in docs], 400, False)
+    # n_bytes is the size of the input; what is left is n_bytes - n_removed.
+    assert {r.doc_id: r.n_bytes for r in got} == {d: len(t) for d, t in docs}
+    assert sorted(r.doc_id for r in got if r.n_bytes - r.n_removed < r.n_bytes) == [1, 2, 6]
