@@ -12,7 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.plans.nesting import MAX_ITEMS, nest
@@ -25,6 +25,17 @@ _SHARE = 0.1
 SHALLOW = 24
 # Names of one block, as bits of a long.
 _BITS = 64
+# Reached nodes in one row, about.
+_ITEMS = 1 << 15
+# Edges of a small graph, which may also be broadcast.
+_FEW = 100_000
+# Items of a part, as those of the parts of another node: merged, filtered, or one by one.
+_PIECES = """case
+    when to_parts <= parts then array(named_struct('part', pmod(part, to_parts), 'items', items))
+    when to_parts <= 8 * parts then transform(sequence(part, to_parts - 1, parts), p ->
+        named_struct('part', p, 'items', filter(items, x -> pmod(xxhash64(x), to_parts) = p)))
+    else transform(items, x ->
+        named_struct('part', pmod(xxhash64(x), to_parts), 'items', array(x))) end"""
 
 
 def edge_union(*edges: DataFrame) -> DataFrame:
@@ -112,24 +123,168 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     With ``roots`` (column ``node``) only pairs whose child is a root, followed backwards from
     the roots; in a deep graph that is contracted around the roots, the nodes taken out get
     the roots of what is behind them. Without ``roots`` the answer is quadratic by its
-    nature; the reach doubles every round. Every round is written to the shared folder, by tasks
-    whose number follows the pairs.
+    nature. It is then found by height, from the leaves up: a node takes over what its children
+    reach, once, as lists that are shuffled and written in place of pairs. Small graphs are
+    doubled, which takes fewer rounds. Ends of edges may be null; a null reaches what its edges
+    lead to and leads nowhere itself.
     """
     if roots is not None:
         return _closure_of(edges, roots.select("node").distinct())
-    given = edges.count()
-    base = edges.select("parent", "child").repartition(tasks(given), "parent", "child").distinct()
-    tables = RoundTables(edges.sparkSession, "closure")
-    new, n = tables.write(base, given)
+    given, seen = edges.count(), Observation()
+    base = RoundTables(edges.sparkSession, "edges").put(
+        edges.select("parent", "child").repartition(tasks(given), "parent", "child").distinct()
+        .observe(seen, F.count(F.lit(1)).alias("n"),
+                 F.count_if(F.isnull("parent") | F.isnull("child")).alias("nulls")), given)
+    size, nulls = seen.get["n"], seen.get["nulls"] > 0
+    small = _doubled(base, size, nulls, 10 * _FEW) if size <= _FEW else None
+    return small[0] if small else _reach_by_height(base, size, nulls)
+
+
+def _doubled(
+    base: DataFrame, size: int, nulls: bool, most: int | None = None
+) -> tuple[DataFrame, int] | None:
+    """All pairs of a graph of any shape, and their number; the reach doubles every round.
+
+    Null when there are more than ``most``.
+    """
+    tables = RoundTables(base.sparkSession, "closure")
+    new, n = tables.write(base, size)
     total = n
     while n:
+        if most is not None and total > most:
+            return None
         so_far = tables.all(base)
         found = new.select("parent", F.col("child").alias("via")).join(
-            so_far.select(F.col("parent").alias("via"), "child"), "via").select("parent", "child")
-        new, n = tables.write(found.distinct().join(so_far, ["parent", "child"], "left_anti"),
-                              n + total)
+            so_far.select(F.col("parent").alias("via"), "child"), "via").select(
+            "parent", "child").distinct()
+        # Equal nulls cost a further shuffle.
+        new, n = tables.write(
+            found.subtract(so_far) if nulls
+            else found.join(so_far, ["parent", "child"], "left_anti"), n + total)
         total += n
-    return tables.all(base)
+    return tables.all(base), total
+
+
+def _heights(edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Edges with the height of their child, taken away round by round, and those that are left.
+
+    The height of a node is its longest path to a leaf. Left, as a table and a number, are the
+    edges between nodes that reach a cycle or, if heights grow slowly, have a long path. The last
+    number is above all heights.
+    """
+    rounds = RoundTables(edges.sparkSession, "edges-by-height")
+    left, height = edges, 0
+    while size:
+        seen = Observation()
+        waiting = left.select(F.col("parent").alias("child"), F.lit(True).alias("waits")).distinct()
+        marked = rounds.put(
+            left.join(waiting, "child", "left").select(
+                "parent", "child", F.when(F.isnull("waits"), F.lit(height)).alias("height"))
+            .observe(seen, F.count("height").alias("done")), _large(2 * size))
+        left = marked.where("height is null").select("parent", "child")
+        done, before = seen.get["done"], size
+        size, height = before - done, height + 1
+        if not done or (height > SHALLOW and done < _SHARE * before):
+            break
+    return rounds.all(marked).where("height is not null"), left, size, height
+
+
+def _reach_by_height(edges: DataFrame, size: int, nulls: bool) -> DataFrame:
+    """The closure of distinct edges, from the leaves up.
+
+    All children of a node are done before it, so each edge takes what its child reaches to its
+    parent in one round, and no round looks at what others found. Edges that are left without
+    a height are doubled alone; their nodes make the last layer, whose edges are those that
+    anything they reach has to a node below.
+    """
+    spark = edges.sparkSession
+    low, left, n_left, last = _heights(edges, size)
+    tops = low.select("parent", "height")
+    if n_left:
+        tops = tops.unionByName(left.select("parent", F.lit(last).alias("height")))
+    tops = tops.groupBy(F.col("parent").alias("node")).agg((F.max("height") + 1).alias("top"))
+    low = RoundTables(spark, "layers").put(
+        low.join(tops, F.col("parent").eqNullSafe(F.col("node"))).select(
+            "parent", "child", "height", "top"), _large(size), by=["top"])
+    below: dict[int, list[int]] = {}
+    count: Counter[int] = Counter()
+    for r in low.groupBy("top", "height").count().collect():
+        # Leaves, of height 0, reach nothing.
+        below.setdefault(r["top"], []).extend([r["height"]] if r["height"] else [])
+        count[r["top"]] += r["count"]
+    reached = _Reached(spark)
+    for top in range(1, last + 1):
+        if count[top]:
+            reached.add(low.where(F.col("top") == top).select("parent", "child"), count[top],
+                        sorted(below[top]))
+    if n_left:
+        pairs, n_pairs = _doubled(left, n_left, nulls)
+        out = low.where(F.col("top") == last + 1).select("parent", "child")
+        ends, n_ends = RoundTables(spark, "last-layer").write(
+            pairs.join(out.select(F.col("parent").alias("child"), F.col("child").alias("low")),
+                       "child").select("parent", F.col("low").alias("child"))
+            .unionByName(out).distinct().unionByName(pairs), n_pairs + count[last + 1])
+        reached.add(ends, n_ends, sorted(below.get(last + 1, ())))
+    return reached.pairs()
+
+
+class _Reached:
+    """What the nodes of each layer reach, as rows ``node, part, parts, held, items``.
+
+    An item is in the part that its hash gives. ``parts`` is a power of two, as large as
+    it takes for about ``_ITEMS`` items to a part if the children of the node had none in common.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables = RoundTables(spark, "reached")
+        self.wide = RoundTables(spark, "wide-nodes")
+
+    def add(self, edges: DataFrame, size: int, below: list[int]) -> None:
+        """The next layer: distinct edges from all its nodes, with children of heights ``below``."""
+        known = self.tables.of([h - 1 for h in below], self.like) if below else None
+        counted = edges.withColumn("n", F.lit(0).cast("bigint"))
+        if known is not None:
+            sizes = known.groupBy(F.col("node").alias("child")).agg(F.sum("held").alias("n"))
+            counted = edges.join(sizes, "child", "left")
+        seen = Observation()
+        bound = F.sum(F.coalesce("n", F.lit(0)) + 1).cast("bigint")
+        wide = self.wide.put(
+            counted.groupBy(F.col("parent").alias("node")).agg(bound.alias("bound"))
+            .observe(seen, F.sum("bound").alias("items"),
+                     F.count_if(F.col("bound") > _ITEMS).alias("wide"))
+            .where(F.col("bound") > _ITEMS)
+            .select("node", F.expr(f"shiftleft(1L, int(ceil(log2(bound / {_ITEMS}))))")
+                    .alias("parts")), _large(size))
+        n_items, n_wide = seen.get["items"], seen.get["wide"]
+        ends = edges.withColumn("parts", F.lit(1).cast("bigint"))
+        if n_wide:
+            if n_wide <= _FEW:
+                wide = F.broadcast(wide)
+            ends = edges.join(wide, F.col("parent").eqNullSafe(F.col("node")), "left").select(
+                "parent", "child", F.coalesce("parts", F.lit(1)).alias("parts"))
+        of_child = F.pmod(F.xxhash64("child"), F.col("parts")) if n_wide else F.lit(0)
+        found = ends.select(F.col("parent").alias("node"), of_child.cast("bigint").alias("part"),
+                            "parts", F.array("child").alias("items"))
+        if known is not None:
+            to = ends.select("parent", "child", F.col("parts").alias("to_parts"))
+            come = known.join(F.broadcast(to) if size <= _FEW else to,
+                              F.col("node") == F.col("child"))
+            piece = _PIECES if n_wide else "array(struct(0L as part, items))"
+            found = found.unionByName(
+                come.select("parent", "to_parts", F.expr(f"inline({piece})")).where(
+                    "size(items) > 0").select(
+                    F.col("parent").alias("node"), "part", F.col("to_parts").alias("parts"),
+                    "items"))
+        # Dealt out first, so that lists are put together only where they are merged.
+        merged = found.repartition("node", "part").groupBy("node", "part", "parts").agg(
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        self.like = merged.select("node", "part", "parts", F.size("items").alias("held"), "items")
+        self.tables.put(self.like, _large(n_items))
+
+    def pairs(self) -> DataFrame:
+        return self.tables.all(self.like).select(
+            F.col("node").alias("parent"), F.explode("items").alias("child"))
 
 
 def _backwards(

@@ -35,6 +35,71 @@ def test_closure(spark, rows):
     assert rows(G.closure(df, roots)) == [("a", "d"), ("b", "d"), ("c", "d"), ("x", "d")]
 
 
+@pytest.mark.parametrize("seed,kind,shallow,few", [
+    (0, "BIGINT", 24, 100), (1, "STRING", 24, 0), (2, "BIGINT", 0, 100), (3, "STRING", 2, 0)])
+def test_closure_by_height(spark, monkeypatch, seed, kind, shallow, few):
+    rng = random.Random(seed)
+    node = int if kind == "BIGINT" else str
+    ends = [(rng.randrange(70), rng.randrange(70)) for _ in range(150)]
+    pairs = [(min(p), max(p)) for p in ends if p[0] != p[1]]
+    if seed >= 2:
+        # Cycles and self-edges, with nodes above, between and below.
+        pairs += [(40, 20), (30, 25), (33, 33)]
+    # Lists in several parts, small ones taken into lists of many parts, a node without parts.
+    pairs += [(100, b) for b in range(70)] + [(101, 100), (101, 0), (102, 101)]
+    monkeypatch.setattr(G, "SHALLOW", shallow)
+    monkeypatch.setattr(G, "_ITEMS", 6)
+    monkeypatch.setattr(G, "_FEW", few)
+    if few:
+        monkeypatch.setattr(G, "_doubled", lambda base, size, nulls, most=None, by=G._doubled: (
+            None if most else by(base, size, nulls)))
+    given = [(node(a), node(b)) for a, b in pairs + pairs[:9]]
+    given += [(None, node(60)), (None, node(20)), (node(3), None), (node(3), None)]
+    got = [tuple(r) for r in G.closure(
+        spark.createDataFrame(given, f"parent {kind}, child {kind}")).collect()]
+    all_ = reach(pairs)
+    want = {(node(a), node(b)) for a, b in all_}
+    want |= {(None, node(b)) for b in [60, 20] + [b for a, b in all_ if a in (60, 20)]}
+    want |= {(node(a), None) for a in [3] + [a for a, b in all_ if b == 3]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_closure_looks_at_no_round_again(spark, monkeypatch):
+    read, looked = [], []
+    read_all, pairs_of = G.RoundTables.all, G._Reached.pairs
+
+    def noted(self, like):
+        read.extend(self.paths)
+        return read_all(self, like)
+
+    def counted(self):
+        looked.extend(r.n for r in (
+            self.spark.read.parquet(p).agg(F.sum("held").alias("n")).first()
+            for p in self.tables.paths))
+        return pairs_of(self)
+
+    monkeypatch.setattr(G.RoundTables, "all", noted)
+    monkeypatch.setattr(G._Reached, "pairs", counted)
+    monkeypatch.setattr(G, "_FEW", 0)
+    depth = 8
+    pairs = [(2 * i + a, 2 * i + 2 + b) for i in range(depth) for a in (0, 1) for b in (0, 1)]
+    got = G.closure(spark.createDataFrame(pairs, "parent BIGINT, child BIGINT"))
+    assert got.count() == 2 * depth * (depth + 1)
+    assert len(read) == len(set(read))
+    # Every pair is written in one round only.
+    assert looked == [2 * 2 * h for h in range(1, depth + 1)]
+
+
+def test_small_graph_with_many_pairs_is_not_doubled(spark, monkeypatch):
+    monkeypatch.setattr(G, "_FEW", 12)
+    pairs = [(i, i + 1) for i in range(12)] + [(12, b) for b in range(100, 130)]
+    edges_of = spark.createDataFrame(pairs, "parent BIGINT, child BIGINT")
+    assert G._doubled(edges_of, len(pairs), False, 60) is None
+    assert {tuple(r) for r in G.closure(edges_of).collect()} == reach(pairs)
+    none = spark.createDataFrame([], "parent BIGINT, child BIGINT")
+    assert G.closure(none).collect() == []
+
+
 def test_cycles(spark, rows):
     df = edges(spark, "ab", "ba", "bc", "cc", "cd", "de", "xa")
     assert rows(G.cycles(df)) == [("a", False), ("b", False), ("c", True)]

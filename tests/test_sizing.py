@@ -1,5 +1,8 @@
 """Tasks whose number follows the rows."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,27 @@ def test_closure_takes_tasks_by_its_pairs(spark, apart, monkeypatch):
     assert max(files for _, files in used) > 8  # four partitions are set
 
 
+def test_written_rounds_leave_no_shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+
+    before = files()
+    tables = rounds.RoundTables(spark, "dealt-out")
+    for _ in range(2):
+        dealt, n = tables.write(spark.range(20000).repartition(7, "id"), 20000)
+        assert n == 20000
+    until = time.time() + 20
+    # The count of a round has a shuffle of its own, of one row a task.
+    while (left := [f for f in files() - before if f.exists() and f.stat().st_size > 2000]
+           ) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert dealt.count() == 20000
+
+
 def test_resolved_texts_are_worked_out_once(spark, rows):
     refs = spark.createDataFrame([("A", "1", "x"), ("A", "2", "<$(A:1)>"), ("A", "3", None)],
                                  "ref_group string, ref_id string, ref_value string")
